@@ -24,8 +24,8 @@ def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame
     The count is combined on the map side, so a hot key costs one row per task.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("_n") >= share * F.col("_total")).select(key)
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.where(F.col("_n") >= share * total).select(key)
 
 
 def salted_join(

@@ -30,12 +30,13 @@ def with_range(df: DataFrame, by: list[str], value: str, ranges: int | None = No
     if ranges == 1:
         return df.withColumn("_range", F.lit(0))
     points = [i / ranges for i in range(1, ranges)]
-    cuts = df.groupBy(*by).agg(
-        F.array_distinct(
-            F.percentile_approx(value, F.array(*[F.lit(p) for p in points]), F.lit(max(10_000, 10 * ranges)))
-        ).alias("_cuts")
+    cut_array = F.array_distinct(
+        F.percentile_approx(value, F.array(*[F.lit(p) for p in points]), F.lit(max(10_000, 10 * ranges)))
     )
-    joined = df.join(F.broadcast(cuts), by, "left") if by else df.crossJoin(F.broadcast(cuts))
+    if by:
+        joined = df.join(F.broadcast(df.groupBy(*by).agg(cut_array.alias("_cuts"))), by, "left")
+    else:
+        joined = df.withColumn("_cuts", df.agg(cut_array).scalar())
     below = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
     return joined.withColumn("_range", below).drop("_cuts")
 
