@@ -10,6 +10,7 @@ from rarespark.operators.features import as_vector, column_roles, feature_column
 from rarespark.operators.joins import left_join_side
 from rarespark.operators.split import fit_split
 from rarespark.plans.reports import scores_long
+from rarespark.session import materialize
 from rarespark.settings import LATENT_GRID, RATE_GRID, SEED
 
 CATEGORICAL = ["o_custkey", "o_orderstatus", "max_returnflag"]
@@ -65,8 +66,11 @@ def split_transactions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def encoder(spark: SparkSession, root: str, layout: str = "dense"):
-    """(fitted features, all rows with their split)."""
-    rows = split_transactions(spark, root)
+    """(fitted features, all rows with their split).
+
+    The split join is written once; every fitting pass is then a pruned scan.
+    """
+    rows = materialize(split_transactions(spark, root), "split", ["split"])
     cats, nums = column_roles(rows, feature_columns(rows, ["id", "y", "split"]), ["o_custkey"])
     return fit_features(rows.where("split = 'train'"), cats, nums, layout), rows
 

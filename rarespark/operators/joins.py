@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from rarespark.session import shuffle_width
 from rarespark.settings import HEAVY_SHARE
 
+MAX_SALTS = 256
+
 
 def left_join_side(fact: DataFrame, side: DataFrame, key: str) -> DataFrame:
     """Keep every fact row; attach the side row of the same key if there is one.
@@ -33,10 +35,10 @@ def salted_join(
     how: str = "inner",
 ) -> DataFrame:
     """Join with ``right`` unique on ``on``. Rows of ``left`` whose ``heavy_key``
-    is heavy are spread over all shuffle partitions by ``spread``; only the few
+    is heavy are spread over up to ``MAX_SALTS`` tasks by ``spread``; only the few
     matching rows of ``right`` are repeated, all others travel once.
     """
-    width = shuffle_width(left.sparkSession)
+    width = min(shuffle_width(left.sparkSession), MAX_SALTS)
     marks = F.broadcast(heavy.select(heavy_key).distinct().withColumn("_hot", F.lit(True)))
     left = left.join(marks, heavy_key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(width))).otherwise(F.lit(0).cast("bigint"))

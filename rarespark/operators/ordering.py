@@ -15,30 +15,43 @@ from pyspark.sql import functions as F
 from rarespark.session import shuffle_width
 
 MAX_RANGES = 2048
+_STEP = 32
 
 
-def with_range(df: DataFrame, by: list[str], value: str, ranges: int | None = None) -> DataFrame:
+def with_range(
+    df: DataFrame, by: list[str], value: str, ranges: int | None = None, source: DataFrame | None = None
+) -> DataFrame:
     """Add ``_range``: the number of cut points of the row's group below ``value``.
 
-    The cut points are one array per group, at most ``MAX_RANGES`` long; the
-    groups are scenarios or boosting iterations, so the broadcast is bounded by
-    the set-up of the experiment and not by its data.
+    The cut points are quantiles of ``source`` (``df`` itself if not given), one
+    array per group and at most ``MAX_RANGES`` long; the groups are scenarios or
+    boosting iterations, so the broadcast is bounded by the set-up of the
+    experiment and not by its data.
     """
     if ranges is None:
         ranges = shuffle_width(df.sparkSession)
     ranges = max(1, min(ranges, MAX_RANGES))
     if ranges == 1:
         return df.withColumn("_range", F.lit(0))
+    source = df if source is None else source
     points = [i / ranges for i in range(1, ranges)]
     cut_array = F.array_distinct(
         F.percentile_approx(value, F.array(*[F.lit(p) for p in points]), F.lit(max(10_000, 10 * ranges)))
     )
     if by:
-        joined = df.join(F.broadcast(df.groupBy(*by).agg(cut_array.alias("_cuts"))), by, "left")
+        joined = df.join(F.broadcast(source.groupBy(*by).agg(cut_array.alias("_cuts"))), by, "left")
     else:
-        joined = df.withColumn("_cuts", df.agg(cut_array).scalar())
-    below = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
-    return joined.withColumn("_range", below).drop("_cuts")
+        joined = df.withColumn("_cuts", source.agg(cut_array).scalar())
+    return joined.withColumn("_range", _count_below("_cuts", F.col(value), ranges)).drop("_cuts")
+
+
+def _count_below(cuts: str, value: Column, ranges: int) -> Column:
+    """Number of sorted ``cuts`` below ``value``; long arrays in two steps."""
+    if ranges <= 2 * _STEP:
+        return F.size(F.filter(cuts, lambda cut: cut < value))
+    lasts = F.filter(cuts, lambda cut, i: i % _STEP == _STEP - 1)
+    whole = F.size(F.filter(lasts, lambda cut: cut < value)) * _STEP
+    return whole + F.size(F.filter(F.slice(cuts, whole + 1, _STEP), lambda cut: cut < value))
 
 
 def dense_index(df: DataFrame, key: str, out: str = "index", ranges: int | None = None) -> DataFrame:
@@ -65,11 +78,9 @@ def cumulative_counts(
     (NULL on the last row), ``is_top`` on the first row.
     """
     y = F.col(target).cast("bigint")
-    cells = (
-        with_range(scores.select(*by, F.col(score).alias("score"), y.alias("y")), by, "score", ranges)
-        .groupBy(*by, "_range", "score")
-        .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    )
+    rows = scores.select(*by, F.col(score).alias("score"), y.alias("y"))
+    distinct = rows.groupBy(*by, "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    cells = with_range(distinct, by, "score", ranges, source=rows)
     first = F.max_by(F.struct("pos", "neg"), F.col("score"))
     totals = cells.groupBy(*by, "_range").agg(
         F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"), first.alias("_first")
