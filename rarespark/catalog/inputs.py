@@ -97,19 +97,24 @@ def dirty_numbers(spark: SparkSession, root: str) -> DataFrame:
     return read(spark, root, "events").select("event_id", text.alias("raw"))
 
 
-def scores(spark: SparkSession, root: str) -> DataFrame:
-    """Long ``(id, y, scenario, score)`` for six scenarios."""
+def _wide_scores(spark: SparkSession, root: str) -> DataFrame:
     signal = (F.col("o_orderstatus") == "F").cast("double")
-    wide = fact_rows(spark, root).select(
+    return fact_rows(spark, root).select(
         "id", "y",
         *[F.round(0.6 * uniform(SEED, name, F.col("id")) + pull * signal, places).alias(name) for name, pull, places in SCORE_RECIPES],
     )
-    return scores_long(wide)
+
+
+def scores(spark: SparkSession, root: str) -> DataFrame:
+    """Long ``(id, y, scenario, score)`` for six scenarios, kept for the passes over it."""
+    return scores_long(_wide_scores(spark, root).repartition("id")).persist()
 
 
 def held_out_scores(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    marked = fit_split(fact_rows(spark, root), "id", "y").assign(scores(spark, root))
-    return marked.where("split = 'validation'").drop("split"), marked.where("split = 'test'").drop("split")
+    """The same scores on the validation rows and on the test rows."""
+    split = fit_split(fact_rows(spark, root), "id", "y")
+    marked = split.assign(_wide_scores(spark, root)).repartition("id").persist()
+    return tuple(scores_long(marked.where(F.col("split") == part)) for part in ("validation", "test"))
 
 
 def grid_cells(spark: SparkSession, root: str) -> DataFrame:

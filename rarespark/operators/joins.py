@@ -20,14 +20,16 @@ def left_join_side(fact: DataFrame, side: DataFrame, key: str) -> DataFrame:
     return fact.join(side, key, "left")
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
-    """Keys holding at least ``share`` of the rows: at most ``1 / share`` of them.
+def heavy_keys(df: DataFrame, key: str, rows: int | None = None, share: float = HEAVY_SHARE) -> DataFrame:
+    """Keys holding at least ``share`` of the ``rows`` of ``df``: at most ``1 / share``.
 
     The count is combined on the map side, so a hot key costs one row per task.
+    The keys are collected here, being needed on both sides of a join.
     """
+    rows = df.count() if rows is None else rows
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") >= share * total).select(key)
+    heavy = counts.where(F.col("_n") >= F.lit(share * rows)).select(key)
+    return df.sparkSession.createDataFrame(heavy.collect(), heavy.schema)
 
 
 def salted_join(
@@ -39,7 +41,7 @@ def salted_join(
     matching rows of ``right`` are repeated, all others travel once.
     """
     width = min(shuffle_width(left.sparkSession), MAX_SALTS)
-    marks = F.broadcast(heavy.select(heavy_key).distinct().withColumn("_hot", F.lit(True)))
+    marks = F.broadcast(heavy.withColumn("_hot", F.lit(True)))
     left = left.join(marks, heavy_key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(width))).otherwise(F.lit(0).cast("bigint"))
     )

@@ -41,17 +41,13 @@ def ranking_metrics(
 def pr_curve(scores: DataFrame, by: list[str], score: str = "score", target: str = "y") -> DataFrame:
     """(threshold, precision, recall) per distinct score, and the end point (NULL, 1, 0)."""
     steps = cumulative_counts(scores, by, score, target)
-    positives = scores.groupBy(*by).agg(F.sum(F.col(target).cast("bigint")).alias("_p"))
-    points = steps.join(F.broadcast(positives), by).select(
-        *by,
+    point = F.struct(
         F.col("score").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        F.coalesce(F.col("tp") / F.nullif("_p", F.lit(0)), F.lit(1.0)).alias("recall"),
+        F.coalesce(F.col("tp") / F.nullif("all_pos", F.lit(0)), F.lit(1.0)).alias("recall"),
     )
-    end = positives.select(
-        *by, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
-    )
-    return points.unionByName(end)
+    end = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return _with_end(steps, by, point, end)
 
 
 def roc_curve(
@@ -63,21 +59,22 @@ def roc_curve(
     the step out of it have the same positives and the same negatives.
     """
     steps = cumulative_counts(scores, by, score, target)
-    y = F.col(target).cast("bigint")
-    sizes = scores.groupBy(*by).agg(F.sum(y).alias("_p"), F.sum(1 - y).alias("_n"))
     if drop_intermediate:
         corner = (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
         steps = steps.where(F.col("is_top") | F.col("next_pos").isNull() | corner)
-    points = steps.join(F.broadcast(sizes), by).select(
-        *by,
+    point = F.struct(
         F.col("score").alias("threshold"),
-        (F.col("fp") / F.nullif("_n", F.lit(0))).alias("fpr"),
-        (F.col("tp") / F.nullif("_p", F.lit(0))).alias("tpr"),
-    )
-    start = sizes.select(
-        *by, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
+        (F.col("fp") / F.nullif("all_neg", F.lit(0))).alias("fpr"),
+        (F.col("tp") / F.nullif("all_pos", F.lit(0))).alias("tpr"),
     )
-    return points.unionByName(start)
+    start = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return _with_end(steps, by, point, start)
+
+
+def _with_end(steps: DataFrame, by: list[str], point: Column, end: Column) -> DataFrame:
+    """The points, and the extra one beside the highest score of each group."""
+    both = F.when(F.col("is_top"), F.array(point, end)).otherwise(F.array(point))
+    return steps.select(*by, F.inline(both))
 
 
 def decide(score: Column, threshold: Column) -> Column:

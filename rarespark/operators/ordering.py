@@ -12,36 +12,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rarespark.session import shuffle_width
+from rarespark.session import materialize, shuffle_width
 
 MAX_RANGES = 2048
 _STEP = 32
 
 
-def with_range(
-    df: DataFrame, by: list[str], value: str, ranges: int | None = None, source: DataFrame | None = None
-) -> DataFrame:
+def with_range(df: DataFrame, by: list[str], value: str, ranges: int | None = None) -> DataFrame:
     """Add ``_range``: the number of cut points of the row's group below ``value``.
 
-    The cut points are quantiles of ``source`` (``df`` itself if not given), one
-    array per group and at most ``MAX_RANGES`` long; the groups are scenarios or
-    boosting iterations, so the broadcast is bounded by the set-up of the
-    experiment and not by its data.
+    The cut points are approximate quantiles, one array per group of at most
+    ``MAX_RANGES`` numbers. Groups are scenarios or boosting iterations, so what
+    is collected and broadcast is bounded by the set-up of the experiment and
+    not by its data.
     """
+    spark = df.sparkSession
     if ranges is None:
-        ranges = shuffle_width(df.sparkSession)
+        ranges = shuffle_width(spark)
     ranges = max(1, min(ranges, MAX_RANGES))
     if ranges == 1:
         return df.withColumn("_range", F.lit(0))
-    source = df if source is None else source
-    points = [i / ranges for i in range(1, ranges)]
-    cut_array = F.array_distinct(
-        F.percentile_approx(value, F.array(*[F.lit(p) for p in points]), F.lit(max(10_000, 10 * ranges)))
-    )
+    points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    quantiles = F.percentile_approx(value, points, F.lit(max(1_000, 20 * ranges)))
+    cuts = df.groupBy(*by).agg(F.array_distinct(quantiles).alias("_cuts"))
+    known = spark.createDataFrame(cuts.collect(), cuts.schema)
     if by:
-        joined = df.join(F.broadcast(source.groupBy(*by).agg(cut_array.alias("_cuts"))), by, "left")
+        joined = df.join(F.broadcast(known), by, "left")
     else:
-        joined = df.withColumn("_cuts", source.agg(cut_array).scalar())
+        joined = df.withColumn("_cuts", known.scalar())
     return joined.withColumn("_range", _count_below("_cuts", F.col(value), ranges)).drop("_cuts")
 
 
@@ -74,25 +72,33 @@ def cumulative_counts(
     """One row per group and distinct score, in effect ordered from high to low.
 
     Columns: ``by``, ``score``, ``pos`` and ``neg`` at this score, ``tp`` and
-    ``fp`` at or above it, ``next_pos`` / ``next_neg`` at the next lower score
-    (NULL on the last row), ``is_top`` on the first row.
+    ``fp`` at or above it, ``all_pos`` and ``all_neg`` of the group, ``next_pos``
+    and ``next_neg`` at the next lower score (NULL on the last row), ``is_top`` on
+    the first row.
+
+    The score rows are read once: they are counted by score, and these counts,
+    which are needed for the cuts, the range totals and the running sums, are
+    stored.
     """
     y = F.col(target).cast("bigint")
     rows = scores.select(*by, F.col(score).alias("score"), y.alias("y"))
-    distinct = rows.groupBy(*by, "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    cells = with_range(distinct, by, "score", ranges, source=rows)
+    counts = rows.groupBy(*by, "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    cells = with_range(materialize(counts, "score-counts"), by, "score", ranges)
     first = F.max_by(F.struct("pos", "neg"), F.col("score"))
     totals = cells.groupBy(*by, "_range").agg(
         F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"), first.alias("_first")
     )
     # at most MAX_RANGES rows per group from here on
-    down = Window.partitionBy(*by).orderBy(F.desc("_range"))
+    group = Window.partitionBy(*by)
+    down = group.orderBy(F.desc("_range"))
     above = down.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *by,
         "_range",
         F.coalesce(F.sum("_pos").over(above), F.lit(0)).alias("_tp0"),
         F.coalesce(F.sum("_neg").over(above), F.lit(0)).alias("_fp0"),
+        F.sum("_pos").over(group).alias("all_pos"),
+        F.sum("_neg").over(group).alias("all_neg"),
         F.lead("_first").over(down).alias("_below"),
         (F.row_number().over(down) == 1).alias("_top_range"),
     )
@@ -106,7 +112,7 @@ def cumulative_counts(
         .withColumn("_next", nxt)
         .withColumn("is_top", F.col("_top_range") & (F.row_number().over(inside) == 1))
         .select(
-            *by, "score", "pos", "neg", "tp", "fp",
+            *by, "score", "pos", "neg", "tp", "fp", "all_pos", "all_neg",
             F.col("_next.pos").alias("next_pos"), F.col("_next.neg").alias("next_neg"), "is_top",
         )
     )

@@ -3,7 +3,7 @@
 Within each class rows are ordered by a seeded hash of their id. A split needs
 only the two cut points of that order, so they are found by counting: a
 histogram of the leading hash bits finds the cell each cut lies in, and the rows
-of these few cells (about ``rows / 65536`` each) are ranked. Assigning the split
+of these few cells (about ``rows / 4096`` each) are ranked. Assigning the split
 is then a comparison with literals in the scan itself.
 """
 
@@ -19,7 +19,7 @@ from rarespark.functions.draws import DRAW_BITS, draw_bits
 from rarespark.settings import SEED, TRAIN_SHARE, VALID_SHARE
 
 SPLITS = ("train", "validation", "test")
-_CELL_BITS = 16
+_CELL_BITS = 12
 
 
 def _floor_share(share: float, n: int) -> int:
@@ -63,7 +63,7 @@ def fit_split(
     hashed = df.select(
         F.col(target).cast("int").alias("y"), F.col(key).alias("id"), draw_bits(seed, "split", F.col(key)).alias("h")
     ).withColumn("cell", F.shiftright("h", DRAW_BITS - _CELL_BITS))
-    # bounded: 65,536 cells for each class of a binary target
+    # bounded: 4,096 cells for each class of a binary target
     cells = hashed.groupBy("y", "cell").agg(F.count("*").alias("n"))
     running = Window.partitionBy("y").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("y")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rarespark.operators.metrics import pr_curve, roc_curve
@@ -76,9 +76,10 @@ def ap_bars(metrics: DataFrame) -> DataFrame:
 
 def curve_scenarios(scores: DataFrame) -> DataFrame:
     """Names of the scenarios to draw: the tuned ones, or else the default ones."""
-    names = scores.select("scenario").distinct().select("scenario", F.col("scenario").endswith("_tuned").alias("tuned"))
-    tuned = names.agg(F.max("tuned").alias("any"))
-    return names.where(F.col("tuned") == tuned.scalar()).select("scenario")
+    names = scores.select("scenario").distinct().withColumn("tuned", F.col("scenario").endswith("_tuned"))
+    # one row per scenario, so one window over all of them is small
+    any_tuned = F.max("tuned").over(Window.partitionBy(F.lit(0)))
+    return names.withColumn("wanted", F.col("tuned") == any_tuned).where("wanted").select("scenario")
 
 
 def curves(scores: DataFrame) -> tuple[DataFrame, DataFrame]:

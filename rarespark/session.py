@@ -18,6 +18,9 @@ def local_session(cores: str | int = 8, app: str = "rarespark", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        # small test tables should still use every core
+        .config("spark.sql.files.openCostInBytes", "128k")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
