@@ -86,6 +86,12 @@ def num_stats(spark, root):
     return model.stats_table(spark).select("column", "role", "median", "mean", "std")
 
 
+def preprocessing_summary(spark, root):
+    model, _ = inputs.encoder(spark, root)
+    used = "ieee_categorical_columns_used"
+    return model.summary(spark).withColumn(used, F.concat_ws(",", used))
+
+
 def encode_dense(spark, root):
     model, rows = inputs.encoder(spark, root)
     return model.transform(rows, ["id", "y", "split"], key="id")
@@ -297,7 +303,7 @@ def experiment_document(spark, root):
 
 _REGISTERED = [
     left_join_side, csv_source, stratified_split, split_summary, rate_percent, split_disjoint, dup_keys, null_target,
-    freq_table, num_stats, encode_dense, encode_mixed, saved_preprocessor, coerce_numeric, finite_check, class_weight,
+    freq_table, num_stats, preprocessing_summary, encode_dense, encode_mixed, saved_preprocessor, coerce_numeric, finite_check, class_weight,
     class_weight_train, synth_counts, average_precision, roc_auc, metrics_at_threshold, decisions, threshold_sweep,
     threshold_sweep_rounded, best_threshold, pr_curve, roc_curve, roc_curve_full, knn, smote_vectors, smote_features,
     augmented_rate, scores_wide, scenario_metrics, scenario_deltas, best_scenario, ap_bars, curve_scenarios,

@@ -94,6 +94,26 @@ def best_threshold_table(sweep: DataFrame, metrics: DataFrame) -> DataFrame:
     return sweep.join(F.broadcast(best), "scenario", "left_semi")
 
 
+# The two sets of names result tables are known by.
+SHORT_NAMES = {"average_precision": "pr_auc"}
+LONG_NAMES = {"threshold": "selected_threshold"}
+SHORT_CELL_NAMES = {"average_precision": "val_pr_auc"}
+LONG_CELL_NAMES = {"rate": "target_fraud_rate", "average_precision": "validation_average_precision"}
+
+
+def named_metrics(metrics: DataFrame, short: bool = True) -> DataFrame:
+    """Metric table with the short (``pr_auc``) or the long column names."""
+    return metrics.withColumnsRenamed(SHORT_NAMES if short else LONG_NAMES)
+
+
+def named_cells(cells: DataFrame, short: bool = True) -> DataFrame:
+    """Grid results: short = grid order and three columns; long = all columns, best first."""
+    if short:
+        kept = cells.orderBy("cell").select("latent_dim", "rate", "average_precision")
+        return kept.withColumnsRenamed(SHORT_CELL_NAMES)
+    return sensitivity_sorted(cells).drop("cell").withColumnsRenamed(LONG_CELL_NAMES)
+
+
 def result_document(
     config: dict, split_summary: DataFrame, preprocessing: DataFrame, sensitivity: DataFrame, results: DataFrame,
     training_info: DataFrame, locked: DataFrame, comparisons: DataFrame,
@@ -112,9 +132,9 @@ def result_document(
     def single(df: DataFrame) -> DataFrame:
         return df.limit(1).select(F.struct("*").alias("v"))
 
-    head = spark.createDataFrame([(list(config.items()),)], "config array<struct<name string, value string>>")
-    return head.select(
-        F.map_from_entries("config").alias("config"),
+    settings = [F.lit(value).alias(name) for name, value in config.items()]
+    return spark.range(1).select(
+        F.struct(*settings).alias("config"),
         single(locked).scalar().alias("locked"),
         listed(split_summary, "split").scalar().alias("split_summary"),
         single(preprocessing).scalar().alias("preprocessing_summary"),

@@ -44,15 +44,13 @@ def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType |
         raise
 
 
-def header_schema(spark: SparkSession, root: str, name: str, types: dict[str, str], default: str = "double") -> T.StructType:
-    """Schema from the header line of a CSV table: ``types`` by column name, else ``default``."""
+def header_schema(spark: SparkSession, root: str, name: str, types: dict[str, str], default: str = "double") -> str:
+    """Schema (DDL) from the header line of a CSV table: ``types`` by column name, else ``default``."""
     line = spark.read.text(f"{root.rstrip('/')}/{name}.csv").first()
     if line is None:
         raise FileNotFoundError(f"table {name} has no header line")
-    return T.StructType([
-        T.StructField(c, T._parse_datatype_string(types.get(c, default)))
-        for c in (part.strip().strip('"') for part in line[0].split(","))
-    ])
+    columns = [part.strip().strip('"') for part in line[0].split(",")]
+    return ", ".join(f"`{c}` {types.get(c, default)}" for c in columns)
 
 
 def load_transactions(

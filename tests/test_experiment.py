@@ -69,10 +69,15 @@ def test_whole_run(spark, folder, tmp_path):
     assert best == max(r["average_precision"] for r in outcome.sensitivity.collect())
     write_outputs(outcome, str(tmp_path / "out"))
     wide = spark.read.option("header", True).csv(f"{tmp_path}/out/test_scores")
-    assert wide.columns == ["id", "y", *reports.SCENARIO_NAMES]
+    assert wide.columns == ["TransactionID", "isFraud", *reports.SCENARIO_NAMES]
     assert wide.count() == outcome.prepared.part("test").count()
     document = json.loads(spark.read.text(f"{tmp_path}/out/final_oversampling_results").first()[0])
     assert len(document["results"]) == 6 and len(document["split_summary"]) == 3
-    assert document["locked"]["rate"] in (0.1, 0.2) and document["config"]["seed"] == "42"
+    assert document["locked"]["rate"] in (0.1, 0.2) and document["config"]["seed"] == 42 and document["config"]["rate_grid"] == [0.1, 0.2]
+    table = spark.read.option("header", True).csv(f"{tmp_path}/out/metrics_table")
+    assert {"scenario", "pr_auc", "roc_auc", "recall", "precision", "f1", "threshold"} <= set(table.columns)
+    assert spark.read.option("header", True).csv(f"{tmp_path}/out/sensitivity_analysis").columns == ["latent_dim", "rate", "val_pr_auc"]
+    assert reports.named_cells(outcome.sensitivity, short=False).columns == [
+        "latent_dim", "target_fraud_rate", "n_synthetic", "validation_average_precision", "best_iteration"]
     tuned = {r["scenario"]: r for r in outcome.training_info.collect()}
     assert json.loads(tuned["baseline_tuned"]["best_params"]) and json.loads(tuned["baseline"]["best_params"]) == {}
