@@ -191,14 +191,17 @@ def statements() -> dict[str, str]:
         f"""WITH {_MODEL} SELECT c AS "column", 'numeric' AS role, {_r('median', 'median')}, {_r('mean', 'mean')}, {_r('std', 'std')} FROM num_stats
         UNION ALL SELECT c, 'categorical', NULL::DOUBLE, round(mean, 6) + 0.0, round(std, 6) + 0.0 FROM cat_stats"""
     )
+    sql["preprocessing_summary"] = f"""SELECT 'A1_frequency_median_zscore' AS kind, 'train split only' AS fit_scope,
+        {len(CATEGORICAL) + len(NUMERIC)} AS raw_feature_count, {len(NUMERIC)} AS numeric_feature_count,
+        {len(CATEGORICAL)} AS categorical_feature_count, {len(CATEGORICAL) + len(NUMERIC)} AS transformed_feature_count,
+        '{','.join(sorted(CATEGORICAL))}' AS ieee_categorical_columns_used, 10.0::DOUBLE AS zscore_clip"""
     sql["encode_dense"] = f"WITH {_DENSE} SELECT id, y, split, {_rounded(CATEGORICAL + NUMERIC)} FROM dense"
     sql["saved_preprocessor"] = sql["encode_dense"]
     sql["encode_mixed"] = (
         f"WITH {_MIXED} SELECT id, y, split, {_rounded(NUMERIC + [c + '_frequency' for c in CATEGORICAL])} FROM mixed"
     )
-    sql["coerce_numeric"] = (
-        f"SELECT event_id, {_r('TRY_CAST(CASE WHEN event_id % 7 = 0 THEN event_type ELSE value::VARCHAR END AS DOUBLE)', 'number')} FROM events"
-    )
+    raw = "CASE WHEN event_type = 'error' THEN event_type ELSE value::VARCHAR END"
+    sql["coerce_numeric"] = f"SELECT event_id, {_r(f'TRY_CAST({raw} AS DOUBLE)', 'number')} FROM events"
     bad = lambda c: f"count(*) FILTER (WHERE {c} IS NULL OR NOT isfinite({c})) AS {c}"
     sql["finite_check"] = f"WITH {_DENSE} SELECT count(*) AS rows, {', '.join(bad(c) for c in CATEGORICAL + NUMERIC)} FROM dense"
     weights = f"sum(1 - y)::BIGINT AS n0, sum(y)::BIGINT AS n1, {_r('sum(1 - y) / greatest(sum(y), 1)::DOUBLE', 'pos_weight')}"

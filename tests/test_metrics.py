@@ -55,6 +55,12 @@ def test_ranking_matches_brute_force(spark, groups, ranges):
         assert got[name]["roc_auc"] == pytest.approx(auc, abs=1e-12)
 
 
+def test_one_group_without_a_name(spark, groups):
+    y, s = groups["ties"]
+    r = ranking_metrics(table(spark, {"ties": (y, s)}), [], ranges=4).first()
+    assert (r["average_precision"], r["roc_auc"]) == pytest.approx(brute(y, s))
+
+
 def test_monotone_change_leaves_ap_alone(spark, groups):
     df = table(spark, groups)
     a = {r["scenario"]: r["average_precision"] for r in ranking_metrics(df, ["scenario"]).collect()}
