@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rarespark.llm.oracle import SQL
 from rarespark.session import scratch_path
 
+__all__ = ["QUERIES", "SQL"]
+
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{table}.parquet")
@@ -35,9 +38,58 @@ def op4_token_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+# --- fixed values: rules and words of hosts whose pages are listed ------------
+URL_RULES = [
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+]
+LISTED_HOSTS = "casino|pills|bets|adult"
+# --- end of fixed values ------------------------------------------------------
+
+
+def op1_url_filter(spark: SparkSession, root: str) -> DataFrame:
+    """The list is made of the URLs of all pages on hosts with a listed word."""
+    from rarespark.llm.url_filter import judge_urls, url_host
+
+    pages = read(spark, root, "pages").select("page_id", "url")
+    listed = pages.where(url_host(F.col("url")).rlike(LISTED_HOSTS))
+    return judge_urls(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_mixing(spark: SparkSession, root: str) -> DataFrame:
+    from rarespark.llm.mixing import mix_slots
+
+    return mix_slots(read(spark, root, "documents")).select("doc_id", "stream", "epoch", "block", "slot")
+
+
+def op6_chat_format(spark: SparkSession, root: str) -> DataFrame:
+    from rarespark.llm.chat import conversation_digests, format_conversations
+
+    said = "</s>[INST] ok [/INST]"
+    rows = read(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return conversation_digests(format_conversations(rows.unionByName(extra))).drop("rewrites_history")
+
+
+def op9_quality(spark: SparkSession, root: str) -> DataFrame:
+    from rarespark.llm.quality import judge_documents
+
+    judged = judge_documents(read(spark, root, "documents"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
+    return judged.select(*columns)
+
+
+def op10_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    from rarespark.llm.fingerprints import compare_with_edited
+
+    return compare_with_edited(read(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
+    "op6_chat_format": op6_chat_format,
+    "op9_quality": op9_quality,
+    "op10_fingerprints": op10_fingerprints,
 }
-
-SQL: dict[str, str] = {}
