@@ -70,6 +70,12 @@ def op6_chat_format(spark: SparkSession, root: str) -> DataFrame:
     return conversation_digests(format_conversations(rows.unionByName(extra))).drop("rewrites_history")
 
 
+def op7_near_dup(spark: SparkSession, root: str) -> DataFrame:
+    from rarespark.llm.near_dup import near_duplicates
+
+    return near_duplicates(read(spark, root, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_quality(spark: SparkSession, root: str) -> DataFrame:
     from rarespark.llm.quality import judge_documents
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op6_chat_format": op6_chat_format,
+    "op7_near_dup": op7_near_dup,
     "op9_quality": op9_quality,
     "op10_fingerprints": op10_fingerprints,
 }
