@@ -18,7 +18,8 @@ import os
 import re
 from array import array
 
-CACHED_WORDS = 350_000
+# words kept in the younger of two generations
+CACHED_WORDS = 200_000
 CACHED_CHARS = 48
 
 # all characters with the Unicode property White_Space
@@ -29,7 +30,7 @@ _WORDS = re.compile(r"[^\t-\r ]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _UNEVEN_ASCII = ("  ", "\n\n", " \n", "\n ", "\t", "\v", "\f", "\r")
 _UNEVEN_OTHER = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def _even(text: str) -> bool:
@@ -78,10 +79,11 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of a word that follows a space (``byte``: or starts with its line end)."""
-        found = _PLAIN.fullmatch(word)
-        if found is None:
-            return self._whole(word if not self.by_byte or word[0] == "\n" else " " + word)
-        letters, mark = found.groups()
+        letters, mark = word, ""
+        if not word.isalpha():
+            letters, mark = word[:-1], word[-1:]
+        if mark not in self.marks or not letters.isalpha() or not (letters.isascii() or _LATIN.fullmatch(letters)):
+            return self._whole(word if not self.by_byte or word[:1] == "\n" else " " + word)
         return self.plain[letters if self.by_byte else letters.lower()] + self.marks[mark]
 
     def _letters(self, letters: str) -> bytes:
@@ -93,18 +95,23 @@ class Encoder:
 
 
 class _Cache(dict):
-    """Looks a missing word up and keeps it, up to a bounded number of words."""
+    """Looks a missing word up and keeps it. A full cache becomes the older generation;
+    words found there are taken over, so frequent words are never looked up again."""
 
     def __init__(self, look_up):
         super().__init__()
-        self.look_up = look_up
+        self.look_up, self.older = look_up, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.look_up(word)
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = ids
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.look_up(word)
+            if len(word) > CACHED_CHARS:
+                return ids
+        if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
 
