@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 BITS = 1 << 24
 
 
-def possible_partners(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``df`` that may have a partner in ``keys``."""
+def mark_possible(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``df`` with ``_maybe``: false for rows that have no partner in ``keys``."""
     slot = F.pmod(F.xxhash64(*on), F.lit(BITS))
     word = F.shiftright(slot, 6).alias("_word")
     bit = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({', '.join(f'`{c}`' for c in on)}), {BITS}L) & 63 AS INT))")
     words = keys.select(word, bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    marked = df.withColumn("_word", word).join(F.broadcast(words), "_word")
-    return marked.where(F.col("_bits").bitwiseAND(bit) != 0).select(*df.columns)
+    marked = df.withColumn("_word", word).join(F.broadcast(words), "_word", "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.select(*df.columns, maybe.alias("_maybe"))
+
+
+def possible_partners(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``df`` that may have a partner in ``keys``."""
+    return mark_possible(df, keys, on).where("_maybe").drop("_maybe")

@@ -61,6 +61,13 @@ def op2_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mix_slots(read(spark, root, "documents")).select("doc_id", "stream", "epoch", "block", "slot")
 
 
+def op5_repeats(spark: SparkSession, root: str) -> DataFrame:
+    from rarespark.llm.repeats import remove_repeats
+
+    kept = remove_repeats(read(spark, root, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_chat_format(spark: SparkSession, root: str) -> DataFrame:
     from rarespark.llm.chat import conversation_digests, format_conversations
 
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
+    "op5_repeats": op5_repeats,
     "op6_chat_format": op6_chat_format,
     "op7_near_dup": op7_near_dup,
     "op9_quality": op9_quality,
