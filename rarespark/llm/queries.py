@@ -83,6 +83,13 @@ def op7_near_dup(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(read(spark, root, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_line_dedup(spark: SparkSession, root: str) -> DataFrame:
+    from rarespark.llm.line_dedup import drop_repeated_lines
+
+    kept = drop_repeated_lines(read(spark, root, "documents"))
+    return kept.select("doc_id", "n_chars", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 def op9_quality(spark: SparkSession, root: str) -> DataFrame:
     from rarespark.llm.quality import judge_documents
 
@@ -105,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repeats": op5_repeats,
     "op6_chat_format": op6_chat_format,
     "op7_near_dup": op7_near_dup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_fingerprints": op10_fingerprints,
 }

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from rarespark.llm.prefilter import mark_possible, possible_partners
 from rarespark.llm.rows import KEY, keyed, parts_for
-from rarespark.llm.shingles import mix64
+from rarespark.llm.shingles import mix64, powers
 from rarespark.session import materialize
 
 LENGTH = 200
@@ -42,22 +42,14 @@ GRAM = 32
 BUNDLE_BYTES = 256 << 10
 PART_SEGMENTS = 2_000
 _CHUNK = 2 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base & 0xFFFFFFFFFFFFFFFF))
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A hash of each ``gram`` bytes: differences of a running polynomial, shifted back to power 0."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
-    back = _powers(pow(_BASE, -1, 1 << 64), n - gram + 1)
-    return mix64((sums[gram:] - sums[: n - gram + 1]) * back)
+    up, down = powers(n)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    return mix64((sums[gram:] - sums[: n - gram + 1]) * down[: n - gram + 1])
 
 
 def segments_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):

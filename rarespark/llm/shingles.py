@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 SHINGLE = 5
 BANDS, BAND_ROWS = 40, 4
@@ -12,12 +11,6 @@ HASHES = BANDS * BAND_ROWS
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` in UTF-8, A-Z in lower case (bytes know no other
-    white space and no other letters)."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
@@ -25,40 +18,60 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_known: dict[bytes, int] = {}
+_BASE = 0x9E3779B97F4A7C15 | 1
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n-1 of an odd base and of its inverse, modulo 2 ** 64."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            out = np.full(size, np.uint64(base & 0xFFFFFFFFFFFFFFFF))
+            out[0] = 1
+            _powers[i] = np.multiply.accumulate(out)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of each word: a run of bytes other than ASCII white space.
+
+    The hash is a difference of a running polynomial, shifted back to power 0, mixed
+    with the word's length."""
+    raw = np.frombuffer(data, "u1")
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[raw]
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    up, down = powers(max(1, len(raw)))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    return starts, mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def lowered(text: str) -> bytes:
+    """UTF-8 with A-Z in lower case and nothing else changed."""
+    return text.encode("utf-8", "surrogatepass").lower()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of each word; words seen before are looked up."""
-    if len(_known) > 400_000:
-        _known.clear()
-    get, digest = _known.get, xxhash.xxh3_64_intdigest
-    out = []
-    for word in words:
-        h = get(word)
-        if h is None:
-            h = digest(word)
-            if len(word) < 64:
-                _known[word] = h
-        out.append(h)
-    return np.array(out, np.uint64)
+def chained(h: np.ndarray, count: int, n: int) -> np.ndarray:
+    """Hashes of the ``n`` runs of ``count`` words that begin at words 0..n-1."""
+    sums = mix64(h[:n] + np.uint64(count))
+    for i in range(1, count):
+        sums = mix64(sums + h[i : n + i])
+    return sums
 
 
-def shingle_set(words: list[bytes]) -> np.ndarray:
+def shingle_set(text: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the five-word shingles; of the whole sequence if
     there are fewer words; empty without words."""
-    h = word_hashes(words)
+    _, h = word_hashes(lowered(text))
     if not len(h):
         return h
-    if len(h) < SHINGLE:
-        sums = np.array([0x9E3779B97F4A7C15 + len(h)], np.uint64)
-        for x in h:
-            sums = mix64(sums + x)
-        return sums
-    sums = mix64(h[: len(h) - SHINGLE + 1])
-    for i in range(1, SHINGLE):
-        sums = mix64(sums + h[i : len(h) - SHINGLE + 1 + i])
-    return np.unique(sums)
+    count = min(SHINGLE, len(h))
+    return np.unique(chained(h, count, len(h) - count + 1))
 
 
 _random = np.random.RandomState(20240229)
