@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from rarespark.llm.components import components
 from rarespark.llm.prefilter import mark_possible, possible_partners
-from rarespark.llm.rows import KEY, key_columns, keyed
+from rarespark.llm.rows import KEY, keyed, wrapped
 from rarespark.llm.shingles import SHINGLE, chained, lowered, mix64, word_hashes
 from rarespark.operators.joins import heavy_keys, salted_join
 from rarespark.session import materialize
@@ -290,9 +290,12 @@ def without_lines(text: str, removed: set[int]) -> str:
 def drop_repeated_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """All columns, with the removed lines taken out of ``text`` and ``n_chars`` (if there) brought up to date."""
     removed = materialize(repeated_lines(keyed(docs), block), "removed-lines")
-    marked = mark_possible(docs.select("*", *key_columns()), removed, KEY)
-    untouched = marked.where("NOT _maybe").select(*docs.columns)
-    changed = marked.where("_maybe").drop("_maybe").join(removed, KEY, "left").select(*docs.columns, "lines")
+    marked = mark_possible(wrapped(docs), removed, KEY)
+    untouched = marked.where("NOT _maybe").select("_row.*")
+    numbers = "_lines"
+    while numbers in docs.columns:
+        numbers += "_"
+    changed = marked.where("_maybe").join(removed, KEY, "left").select("_row.*", F.col("lines").alias(numbers))
     at, last = docs.columns.index("text"), len(docs.columns)
     fields = docs.schema
 

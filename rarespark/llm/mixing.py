@@ -26,7 +26,7 @@ from math import ceil
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rarespark.llm.rows import KEY, key_columns, parts_for
+from rarespark.llm.rows import KEY, key_columns, parts_for, wrapped
 
 BLOCK_CHARS = 1 << 18
 UNITS = 10_000
@@ -157,6 +157,5 @@ def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, bloc
     """All columns of the placed documents, a row for each epoch, sorted by slot: written
     to files, the parts in order are the mix, and each prefix of them has the target weights."""
     slots = mix_slots(docs, weights, block_chars).groupBy(*KEY).agg(F.collect_set("slot").alias("_slots"))
-    rows = docs.select("*", *key_columns()).join(slots, KEY)
-    placed = rows.withColumn("_slot", F.explode("_slots")).drop("_slots")
-    return placed.repartitionByRange("_slot").sortWithinPartitions("_slot", *KEY).select(*docs.columns)
+    placed = wrapped(docs).join(slots, KEY).withColumn("_slot", F.explode("_slots")).drop("_slots")
+    return placed.repartitionByRange("_slot").sortWithinPartitions("_slot", *KEY).select("_row.*")

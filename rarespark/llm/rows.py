@@ -23,6 +23,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select("*", *key_columns())
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """``(_row, _id, _th)``: all columns of a row in one, so that none of them can clash;
+    ``select("_row.*")`` gives them back."""
+    return docs.select(F.struct("*").alias("_row"), *key_columns())
+
+
 def key_columns(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [
         F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("_id"),
