@@ -11,6 +11,8 @@ from rarespark.settings import CLIP, MISSING_TOKEN
 # Spark's own cast would also take Java suffixes such as "1.5d".
 NUMBER_TEXT = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
 
+INTEGER_TEXT = r"^\s*[+-]?\d{1,18}\s*$"
+
 
 def nan_to_null(c: Column) -> Column:
     """Spark orders NaN above every number; missing must be NULL instead."""

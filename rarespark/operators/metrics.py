@@ -14,6 +14,12 @@ from rarespark.functions.values import ratio_or_zero
 from rarespark.operators.ordering import cumulative_counts, top_one
 
 
+def usable(score: str) -> Column:
+    """The score; NULL and NaN, which have no place in a ranking, raise an error."""
+    c = F.col(score).cast("double")
+    return F.when(c.isNull() | F.isnan(c), F.raise_error(F.lit(f"NULL or NaN in column {score}")).cast("double")).otherwise(c)
+
+
 def threshold_grid(rounded: bool = False) -> list[float]:
     """0.01, 0.02, ... 0.99, as raw sums or rounded to two decimals."""
     grid = np.arange(0.01, 1.0, 0.01)
@@ -27,7 +33,7 @@ def ranking_metrics(
 
     No positives: average precision 0. One class only: ROC-AUC NULL.
     """
-    steps = cumulative_counts(scores, by, score, target, ranges)
+    steps = cumulative_counts(scores.withColumn(score, usable(score)), by, score, target, ranges)
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return steps.groupBy(*by).agg(
         F.coalesce(
@@ -40,7 +46,7 @@ def ranking_metrics(
 
 def pr_curve(scores: DataFrame, by: list[str], score: str = "score", target: str = "y") -> DataFrame:
     """(threshold, precision, recall) per distinct score, and the end point (NULL, 1, 0)."""
-    steps = cumulative_counts(scores, by, score, target)
+    steps = cumulative_counts(scores.withColumn(score, usable(score)), by, score, target)
     point = F.struct(
         F.col("score").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
@@ -58,7 +64,7 @@ def roc_curve(
     A point lies on the line of its neighbours exactly when the step into it and
     the step out of it have the same positives and the same negatives.
     """
-    steps = cumulative_counts(scores, by, score, target)
+    steps = cumulative_counts(scores.withColumn(score, usable(score)), by, score, target)
     if drop_intermediate:
         corner = (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
         steps = steps.where(F.col("is_top") | F.col("next_pos").isNull() | corner)
@@ -89,7 +95,7 @@ def threshold_metrics(
     ``thresholds``: one row ``(by..., threshold)`` per group.
     """
     y = F.col(target).cast("bigint")
-    hit = decide(F.col(score), F.col("threshold")).cast("bigint")
+    hit = decide(usable(score), F.col("threshold")).cast("bigint")
     counts = (
         scores.join(F.broadcast(thresholds), by)
         .groupBy(*by, "threshold")
@@ -132,7 +138,8 @@ def threshold_sweep(
     grid = threshold_grid(rounded)
     y = F.col(target).cast("bigint")
     counts = (
-        scores.select(*by, _grid_position(F.col(score), grid).alias("reached"), y.alias("_y"))
+        scores.select(*by, usable(score).alias("_score"), y.alias("_y"))
+        .select(*by, _grid_position(F.col("_score"), grid).alias("reached"), "_y")
         .groupBy(*by, "reached")
         .agg(F.sum("_y").alias("_tp"), F.count("*").alias("_n"))
     )

@@ -81,3 +81,44 @@ def test_whole_run(spark, folder, tmp_path):
         "latent_dim", "target_fraud_rate", "n_synthetic", "validation_average_precision", "best_iteration"]
     tuned = {r["scenario"]: r for r in outcome.training_info.collect()}
     assert json.loads(tuned["baseline_tuned"]["best_params"]) and json.loads(tuned["baseline"]["best_params"]) == {}
+
+
+DIRTY = [
+    'TransactionID,isFraud,name,"amount, net",card1,note,hole',
+    '1,0,"a ""quoted"" name",1.5,13926,x,',
+    "2,1,NA,NaN,,null,",
+    '3,0," spaced",-1e3,7,"with, comma",NA',
+    "4,1,é,n/a,150,1.0d,",
+]
+
+
+@pytest.fixture()
+def dirty(tmp_path):
+    (tmp_path / "dirty.csv").write_text("\n".join(DIRTY) + "\n")
+    return str(tmp_path)
+
+
+def test_types_are_found_and_text_is_kept(spark, dirty):
+    df = read_table(spark, dirty, "dirty", header_schema(spark, dirty, "dirty"))
+    assert dict(df.dtypes) == {
+        "TransactionID": "bigint", "isFraud": "bigint", "name": "string", "amount, net": "double", "card1": "string", "note": "string", "hole": "double"
+    }
+    rows = [tuple(r) for r in df.orderBy("TransactionID").collect()]
+    assert rows == [
+        (1, 0, 'a "quoted" name', 1.5, "13926", "x", None), (2, 1, None, None, None, None, None),
+        (3, 0, " spaced", -1000.0, "7", "with, comma", None), (4, 1, "é", None, "150", "1.0d", None),
+    ]
+
+
+def test_lost_values_are_an_error(spark, dirty):
+    schema = header_schema(spark, dirty, "dirty", {"note": "double"})
+    with pytest.raises(ValueError, match="note"):
+        read_table(spark, dirty, "dirty", schema)
+
+
+def test_key_and_target_are_checked_on_the_main_path(spark, folder):
+    df = load(spark, folder)
+    with pytest.raises(ValueError, match="duplicate"):
+        run(df.unionByName(df.limit(1)))
+    with pytest.raises(ValueError, match="target"):
+        run(df.withColumn("isFraud", F.when(F.col("TransactionID") > 5, F.col("isFraud"))))

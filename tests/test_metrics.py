@@ -141,3 +141,17 @@ def test_dense_index(spark, ranges):
     df = spark.range(0, 900).select((F.col("id") * F.col("id") + 5).alias("k")).repartition(6)
     rows = dense_index(df, "k", ranges=ranges).orderBy("k").collect()
     assert [r["index"] for r in rows] == list(range(900))
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_scores_without_a_place_are_refused(spark, bad):
+    from pyspark.sql import functions as F
+
+    from rarespark.operators.metrics import pr_curve, ranking_metrics, roc_curve, threshold_metrics, threshold_sweep
+
+    rows = spark.createDataFrame([("a", 1, 0.5), ("a", 0, 0.2), ("a", 1, bad)], "scenario string, y int, score double")
+    at = spark.createDataFrame([("a", 0.3)], "scenario string, threshold double")
+    for make in (ranking_metrics, pr_curve, roc_curve, threshold_sweep, lambda r, by: threshold_metrics(r, at, by)):
+        with pytest.raises(Exception, match="NULL or NaN"):
+            make(rows, ["scenario"]).collect()
+    assert threshold_sweep(rows.where("score < 0.9"), ["scenario"]).where(F.col("threshold") < 0.2).count() == 19
