@@ -117,6 +117,19 @@ def held_out_scores(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     return tuple(scores_long(marked.where(F.col("split") == part)) for part in ("validation", "test"))
 
 
+DIRTY_TEXT = "doc_id string, title string, size string, code string, hole string"
+
+
+def dirty_csv_lines(spark: SparkSession, root: str) -> DataFrame:
+    """CSV lines with doubled quotes, commas inside quotes, missing markers, padded numbers and blanks."""
+    head = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 30), "[\\r\\n]", " ")
+    title = F.concat(F.lit('"<'), F.regexp_replace(F.concat(head, F.lit(', "'), "lang", F.lit('">')), '"', '""'), F.lit('"'))
+    kind = F.pmod("doc_id", F.lit(5))
+    size = F.when(kind == 0, "NA").when(kind == 1, "").when(kind == 2, F.concat(F.lit(" "), "n_chars", F.lit(" "))).otherwise(F.concat("n_chars", F.lit(".5")))
+    code = F.when(kind == 3, "null").when(kind == 4, "1.0d").otherwise(F.col("n_chars").cast("string"))
+    return read(spark, root, "documents").select(F.concat_ws(",", F.col("doc_id").cast("string"), title, size, code, F.lit("")).alias("value"))
+
+
 def grid_cells(spark: SparkSession, root: str) -> DataFrame:
     """One row per (latent dimension, rate); every order falls into one cell."""
     cell = F.pmod("o_orderkey", F.lit(len(LATENT_GRID) * len(RATE_GRID))).cast("int")

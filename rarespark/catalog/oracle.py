@@ -57,6 +57,23 @@ _NUM_STATS = ", medians AS (SELECT " + ", ".join(
 _MODEL = _SPLIT_TX + _FREQ + _CAT_STATS + _NUM_STATS
 
 
+def _layers(source: str, width: int, widths: list[int], at: int) -> str:
+    """Dense layers with weights drawn by number from ``at`` on, rectified except the last; 64 numbers a vector."""
+    draw = lambda number: f"(({_u('weight', f'({number})')} - 0.5) * 0.2)"
+    parts = [
+        "x AS (SELECT vec_id AS id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS value FROM embeddings WHERE label = 0)",
+        f"h0 AS (SELECT * FROM {source})",
+    ]
+    for i, columns in enumerate(widths):
+        w = f"w{i} AS (SELECT r, c, {draw(f'{at} + r * {columns} + c')} AS w FROM range({width}) a(r), range({columns}) b(c))"
+        b = f"b{i} AS (SELECT c, {draw(f'{at + width * columns} + c')} AS b FROM range({columns}) t(c))"
+        z = "sum(value * w) + any_value(b)"
+        made = z if i == len(widths) - 1 else f"greatest({z}, 0.0)"
+        parts += [w, b, f"h{i + 1} AS (SELECT id, c AS pos, {made} AS value FROM h{i} JOIN w{i} ON r = pos JOIN b{i} USING (c) GROUP BY id, c)"]
+        at, width = at + width * columns + columns, columns
+    return "WITH " + ", ".join(parts) + f" SELECT id, CAST(pos AS INTEGER) AS pos, {_r('value', 'value')} FROM h{len(widths)}"
+
+
 def _number_code(c: str) -> str:
     s = f"(SELECT {{}} FROM num_stats WHERE c = '{c}')"
     x = f"coalesce(stx.{c}::DOUBLE, {s.format('median')})"
@@ -269,6 +286,25 @@ def statements() -> dict[str, str]:
         f"WITH {_AP_TABLE}{_sweep('scores', True)} SELECT scenario, {_METRIC_COLUMNS}, selected FROM marked "
         "WHERE scenario = (SELECT scenario FROM dim JOIN ap USING (scenario) ORDER BY average_precision DESC, position LIMIT 1)"
     )
+    sql["csv_dirty"] = """
+      SELECT doc_id, '<' || replace(replace(substr(coalesce(text, ''), 1, 30), chr(13), ' '), chr(10), ' ') || ', "' || lang || '">' AS title,
+        CASE WHEN doc_id % 5 < 2 THEN NULL WHEN doc_id % 5 = 2 THEN n_chars::DOUBLE ELSE n_chars + 0.5 END::DOUBLE AS size,
+        CASE doc_id % 5 WHEN 3 THEN NULL WHEN 4 THEN '1.0d' ELSE n_chars::VARCHAR END AS code, NULL::DOUBLE AS hole
+      FROM documents"""
+    sql["csv_round_trip"] = f"SELECT o_orderkey, o_orderstatus, {_r('o_totalprice', 'o_totalprice')}, o_orderpriority FROM orders"
+    sql["json_round_trip"] = (
+        f"SELECT o_custkey, o_orderkey, {_r('o_totalprice', 'o_totalprice')}, o_orderstatus AS status, o_orderpriority AS priority FROM orders"
+    )
+    u = lambda name: _u(name, "trial")
+    whole = lambda low, high, name: f"CAST({low} + floor({u(name)} * {high - low + 1}) AS INTEGER) AS {name}"
+    sql["trial_draws"] = (
+        "WITH t AS (SELECT CAST(o_orderkey % 10 AS INTEGER) AS trial, count(*) AS orders FROM orders GROUP BY 1) SELECT trial, orders, "
+        + _r(f"exp(ln(0.01) + {u('learning_rate')} * (ln(0.1) - ln(0.01)))", "learning_rate")
+        + f", {whole(16, 256, 'num_leaves')}, {whole(10, 200, 'min_child_samples')}, "
+        + _r(f"0.5 + 0.5 * {u('subsample')}", "subsample") + ", " + _r(f"0.5 + 0.5 * {u('colsample_bytree')}", "colsample_bytree") + " FROM t"
+    )
+    sql["ae_encode_fixed"] = _layers("x", 64, [128, 64, 8], 0)
+    sql["ae_decode_fixed"] = _layers("x WHERE pos < 8", 8, [64, 128, 64], 64 * 128 + 128 + 128 * 64 + 64 + 64 * 8 + 8)
     by_rate = ", ".join(_r(f"max(CASE WHEN rate = {r} THEN average_precision END)", f"rate_{round(r * 100):02d}") for r in RATE_GRID)
     sql["sensitivity_pivot"] = f"WITH {_GRID} SELECT latent_dim, {by_rate} FROM grid GROUP BY 1"
     sql["sensitivity_top"] = f"WITH {_GRID} SELECT {_GRID_COLUMNS} FROM grid ORDER BY grid.average_precision DESC, cell LIMIT 10"

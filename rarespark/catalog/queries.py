@@ -4,26 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rarespark.catalog import inputs
+from rarespark.functions.draws import uniform
 from rarespark.functions.values import to_number
 from rarespark.operators import checks, metrics, split
-from rarespark.operators.autoencoder import fit_autoencoder, latent_anchors, latent_oversample
+from rarespark.operators.autoencoder import Autoencoder, fit_autoencoder, latent_anchors, latent_oversample, layer_shapes
 from rarespark.operators.boosting import TreeParams, fit_boosted, staged_average_precision
 from rarespark.operators.features import FeatureModel, frequency_table
 from rarespark.operators.neighbors import nearest_neighbors, neighbor_rows
 from rarespark.operators.oversample import rows_to_add, smote, smote_oversample
 from rarespark.plans import experiment, reports, search
 from rarespark.session import scratch_path
-from rarespark.settings import RATE_GRID
-from rarespark.sources.tables import load_transactions, write_csv
+from rarespark.settings import N_TRIALS, RATE_GRID, SEED
+from rarespark.sources.tables import content_types, header_schema, load_transactions, read_table, write_csv, write_json
 
 BY = ["scenario"]
 RATE = 0.2
 FIXED_THRESHOLD = 0.3
+FIXED_LATENT, FIXED_SCALE = 8, 0.2
 FEW_TREES = TreeParams(n_estimators=10, learning_rate=0.1, num_leaves=16, min_child_samples=20, patience=5)
 SHORT_TRAINING = {"epochs": 3}
 
@@ -52,6 +55,63 @@ def csv_source(spark, root):
     return loaded.withColumn("n_lines", F.col("n_lines").cast("double"))
 
 
+def csv_dirty(spark, root):
+    """Hand-made CSV lines of the documents: quotes, commas, missing markers and blanks, in columns whose types are found."""
+    path = f"{scratch_path(spark, 'dirty')}/dirty.csv"
+    inputs.dirty_csv_lines(spark, root).write.text(path)
+    folder, header = path.rpartition("/")[0], False
+    raw = read_table(spark, folder, "dirty", inputs.DIRTY_TEXT, header=header)
+    kinds = content_types(raw)
+    typed = ", ".join(f"{c} {kinds[c]}" for c in raw.columns)
+    return read_table(spark, folder, "dirty", typed, header=header)
+
+
+def csv_round_trip(spark, root):
+    """The orders, written as CSV with a header and read back with the types that are found."""
+    folder = scratch_path(spark, "round-trip")
+    write_csv(inputs.read(spark, root, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), f"{folder}/orders.csv")
+    return read_table(spark, folder, "orders", header_schema(spark, folder, "orders"))
+
+
+def json_round_trip(spark, root):
+    """The orders of each customer as nested JSON documents, read back."""
+    path = f"{scratch_path(spark, 'round-trip')}/orders.json"
+    nested = inputs.read(spark, root, "orders").select("o_custkey", F.struct("o_orderkey", "o_totalprice").alias("order"), F.array("o_orderstatus", "o_orderpriority").alias("texts"))
+    write_json(nested, path)
+    schema = "o_custkey bigint, order struct<o_orderkey: bigint, o_totalprice: double>, texts array<string>"
+    back = spark.read.schema(schema).json(path)
+    return back.select("o_custkey", "order.*", F.get("texts", 0).alias("status"), F.get("texts", 1).alias("priority"))
+
+
+def trial_draws(spark, root):
+    """The drawn parameters beside the number of orders of each trial's remainder."""
+    orders = inputs.read(spark, root, "orders").groupBy(F.pmod("o_orderkey", F.lit(N_TRIALS)).cast("int").alias("trial")).count()
+    return search.trial_table(spark).join(orders, "trial").withColumnRenamed("count", "orders")
+
+
+def _fixed_autoencoder(rows: DataFrame) -> Autoencoder:
+    """Weights drawn from md5, so that SQL can draw the same."""
+    dim = len(rows.select("features").first()[0])
+    size = sum(a * b + b for a, b in layer_shapes(dim, FIXED_LATENT))
+    drawn = rows.sparkSession.range(size).select("id", ((uniform(SEED, "weight", F.col("id")) - 0.5) * FIXED_SCALE).alias("w"))
+    # as many numbers as the layers have weights
+    weights = np.array([r["w"] for r in drawn.orderBy("id").collect()])
+    return Autoencoder(weights, dim, FIXED_LATENT, [])
+
+
+def ae_encode_fixed(spark, root):
+    rows = inputs.vectors(spark, root).where("y = 1").select("id", "features")
+    coded = _fixed_autoencoder(rows).encode(rows)
+    return coded.select("id", F.posexplode("features").alias("pos", "value"))
+
+
+def ae_decode_fixed(spark, root):
+    rows = inputs.vectors(spark, root).where("y = 1").select("id", "features")
+    model = _fixed_autoencoder(rows)
+    back = model.decode(rows.select("id", F.slice(F.col("features").cast("array<double>"), 1, FIXED_LATENT).alias("features")))
+    return back.select("id", F.posexplode("features").alias("pos", "value"))
+
+
 def stratified_split(spark, root):
     rows = inputs.fact_rows(spark, root)
     return split.fit_split(rows, "id", "y").assign(rows).select("id", "y", "split")
@@ -302,13 +362,13 @@ def experiment_document(spark, root):
 
 
 _REGISTERED = [
-    left_join_side, csv_source, stratified_split, split_summary, rate_percent, split_disjoint, dup_keys, null_target,
+    left_join_side, csv_source, csv_dirty, csv_round_trip, json_round_trip, stratified_split, split_summary, rate_percent, split_disjoint, dup_keys, null_target,
     freq_table, num_stats, preprocessing_summary, encode_dense, encode_mixed, saved_preprocessor, coerce_numeric, finite_check, class_weight,
     class_weight_train, synth_counts, average_precision, roc_auc, metrics_at_threshold, decisions, threshold_sweep,
     threshold_sweep_rounded, best_threshold, pr_curve, roc_curve, roc_curve_full, knn, smote_vectors, smote_features,
     augmented_rate, scores_wide, scenario_metrics, scenario_deltas, best_scenario, ap_bars, curve_scenarios,
     best_threshold_table, sensitivity_pivot, sensitivity_top, best_cell, gbt_scores, gbt_staged_ap, ae_oversample,
-    ae_encode, search_trials, sensitivity_grid, experiment_metrics, experiment_document,
+    ae_encode, ae_encode_fixed, ae_decode_fixed, trial_draws, search_trials, sensitivity_grid, experiment_metrics, experiment_document,
 ]
 
 
