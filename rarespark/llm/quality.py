@@ -59,7 +59,7 @@ RULES = [
     Rule("duplicate_lines_share", good=0.05, bad=0.3),
     Rule("capitals_share", good=0.15, bad=0.3),
     Rule("exclamations_per_word", good=0.05, bad=0.2),
-    Rule("letters_share", good=0.85, bad=0.7),
+    Rule("letters_share", good=0.92, bad=0.75),
 ]
 
 
