@@ -106,14 +106,14 @@ def _wide_scores(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, root: str) -> DataFrame:
-    """Long ``(id, y, scenario, score)`` for six scenarios, kept for the passes over it."""
-    return scores_long(_wide_scores(spark, root).repartition("id")).persist()
+    """Long ``(id, y, scenario, score)`` for six scenarios."""
+    return scores_long(_wide_scores(spark, root))
 
 
 def held_out_scores(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """The same scores on the validation rows and on the test rows."""
     split = fit_split(fact_rows(spark, root), "id", "y")
-    marked = split.assign(_wide_scores(spark, root)).repartition("id").persist()
+    marked = split.assign(_wide_scores(spark, root))
     return tuple(scores_long(marked.where(F.col("split") == part)) for part in ("validation", "test"))
 
 

@@ -348,7 +348,7 @@ def sensitivity_grid(spark, root):
 def _outcome(spark, root) -> experiment.Outcome:
     protocol = experiment.Protocol(
         key="id", target="y", categorical=["o_custkey"], trees=FEW_TREES.with_values(n_estimators=5),
-        sensitivity_estimators=5, latent_dims=[8], rates=[0.1, 0.2], tuning=False, autoencoder=SHORT_TRAINING,
+        sensitivity_estimators=5, latent_dims=[8], rates=[0.1, 0.2], trials=2, autoencoder=SHORT_TRAINING,
     )
     return experiment.run(inputs.transactions(spark, root), protocol)
 

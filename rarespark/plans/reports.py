@@ -114,6 +114,9 @@ def named_cells(cells: DataFrame, short: bool = True) -> DataFrame:
     return sensitivity_sorted(cells).drop("cell").withColumnsRenamed(LONG_CELL_NAMES)
 
 
+TUNED_PARAMS = "learning_rate double, num_leaves int, min_child_samples int, subsample double, colsample_bytree double"
+
+
 def result_document(
     config: dict, split_summary: DataFrame, preprocessing: DataFrame, sensitivity: DataFrame, results: DataFrame,
     training_info: DataFrame, locked: DataFrame, comparisons: DataFrame,
@@ -132,10 +135,13 @@ def result_document(
     def single(df: DataFrame) -> DataFrame:
         return df.limit(1).select(F.struct("*").alias("v"))
 
+    # parameters are nested values, not text
+    training_info = training_info.withColumn("best_params", F.from_json("best_params", TUNED_PARAMS))
     settings = [F.lit(value).alias(name) for name, value in config.items()]
     return spark.range(1).select(
         F.struct(*settings).alias("config"),
         single(locked).scalar().alias("locked"),
+        locked.limit(1).select("n_synthetic").scalar().alias("n_synthetic"),
         listed(split_summary, "split").scalar().alias("split_summary"),
         single(preprocessing).scalar().alias("preprocessing_summary"),
         listed(sensitivity, "cell").scalar().alias("sensitivity"),

@@ -11,8 +11,8 @@ FREQUENCY_SUFFIX = "_frequency"
 CATEGORICAL_NAMES = frozenset(
     ["ProductCD", "card1", "card2", "card3", "card4", "card5", "card6", "addr1", "addr2"]
     + ["P_emaildomain", "R_emaildomain", "DeviceType", "DeviceInfo"]
-    + ["M%d" % n for n in range(1, 10)]
-    + ["id_%02d" % n for n in range(12, 39)]
+    + [f"M{n}" for n in range(1, 10)]
+    + [f"id_{n:02d}" for n in range(12, 39)]
 )
 
 SEED = 42
@@ -54,5 +54,8 @@ COMPARISONS = [
 # whatever the size of the data, and safe to broadcast.
 HEAVY_SHARE = 1e-3
 
-# Largest lookup table (rows, over all columns) sent to every executor.
+# Largest lookup tables (rows and bytes, over all columns) sent to every executor, and the
+# longest text among the heavy values that are sent of larger tables.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
+HEAVY_TEXT = 1024
