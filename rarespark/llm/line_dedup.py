@@ -6,11 +6,12 @@ one global order, the rare ones first. Two alike lines then share a token of
 their prefixes, the first ``n - ceil(0.75 n) + 1`` tokens:
 
 1. Rarity: occurrences are counted in ``SLOTS`` hashed counters (4 MB, whatever the data).
-2. Every line gives its prefix tokens. Those of one line only are dropped; the
-   others tie lines together, each to the smallest with that token (no pairs are made), and
-   tied lines make families.
-3. The lines of a family meet in one task, or above ``BLOCK`` lines in a task for each two
-   blocks, with all their tokens. There the join runs with exact local
+2. Every line gives its prefix tokens. Those of one line only are dropped. The lines of a
+   token are tied in the order of their sizes, each to the one before if the length filter
+   lets it (no pairs are made), and tied lines make families.
+3. The lines of a family meet in one task with all their tokens. In a family of more than
+   ``BLOCK`` lines, those with a prefix token in common meet, in blocks again if there
+   are more than that. There the join runs with exact local
    rarity: prefix index, length filter, positional filter, and verification on the whole sets.
 
 A line is removed if an earlier line (by ``doc_id``, then place) has the same tokens or is
@@ -30,7 +31,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rarespark.llm.components import components
@@ -42,8 +43,8 @@ from rarespark.session import materialize
 
 SLOTS = 1 << 20
 _BLOBS = 64
-BLOCK = 1024
-_CHUNK = 1 << 20
+BLOCK = 8192
+_CHUNK = 1 << 19
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -131,10 +132,10 @@ def rarity_levels(docs: DataFrame) -> np.ndarray:
 
 
 def line_prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``(_id, _th, line, c1, c2, keys)`` of every line with words: the hash of its token set
-    and its prefix tokens (given once for equal lines of one chunk)."""
+    """``(_id, _th, line, c1, c2, n, keys)`` of every line with words: the hash of its token set,
+    its size and its prefix tokens (given once for equal lines of one chunk)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    names = [*KEY, "line", "c1", "c2", "keys"]
+    names = [*KEY, "line", "c1", "c2", "n", "keys"]
 
     def find(batches):
         level_of = shared.value
@@ -165,11 +166,11 @@ def line_prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             at = np.searchsorted(firsts, used, "right") - 1
             key = np.array([s[:2] for s in said], np.int64).reshape(-1, 2)[at]
             own = used - firsts[at] + np.array([s[3] for s in said])[at]
-            columns = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in (key[:, 0], key[:, 1], own, c1.view(np.int64), c2.view(np.int64))]
+            columns = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in (key[:, 0], key[:, 1], own, c1.view(np.int64), c2.view(np.int64), n[used])]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([*columns, lists], names)
 
-    return docs.select("text", *KEY).mapInArrow(find, "_id bigint, _th bigint, line bigint, c1 bigint, c2 bigint, keys array<bigint>")
+    return docs.select("text", *KEY).mapInArrow(find, "_id bigint, _th bigint, line bigint, c1 bigint, c2 bigint, n bigint, keys array<bigint>")
 
 
 def later_matches(lines: list[frozenset], order: list, blocks: list[int]) -> set[int]:
@@ -210,13 +211,13 @@ def later_matches(lines: list[frozenset], order: list, blocks: list[int]) -> set
 
 
 def _family_matches(members: DataFrame) -> DataFrame:
-    """``(c1, c2)`` of lines with an earlier match, from ``(family, i, j, block, c1, c2, _id, _th, line, tokens)``."""
+    """``(c1, c2)`` of lines with an earlier match, from ``(g1, g2, i, j, block, c1, c2, _id, _th, line, tokens)``."""
 
     def match(batches):
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-        for _, group in groupby(rows, key=lambda r: r[:3]):
+        for _, group in groupby(rows, key=lambda r: r[:4]):
             blocks, classes, order, lines = [], [], [], []
-            for _, _, _, block, c1, c2, key, th, line, tokens in group:
+            for _, _, _, _, block, c1, c2, key, th, line, tokens in group:
                 if classes and classes[-1] == (c1, c2):
                     continue  # a repeated row
                 blocks.append(block), classes.append((c1, c2)), order.append((key, th, line))
@@ -225,31 +226,67 @@ def _family_matches(members: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["c1", "c2"])
 
-    names = ["family", "i", "j", "block", "c1", "c2", *KEY, "line", "tokens"]
-    rows = members.select(*names).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "c1", "c2")
+    names = ["g1", "g2", "i", "j", "block", "c1", "c2", *KEY, "line", "tokens"]
+    rows = members.select(*names).repartition("g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j", "c1", "c2")
     return rows.mapInArrow(match, "c1 bigint, c2 bigint")
 
 
-def _with_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The wanted lines ``(family, block, _blocks, c1, c2, _id, _th, line)`` with all their tokens."""
-    names = ["family", "block", "_blocks", "c1", "c2", *KEY, "line"]
-    lists = wanted.groupBy(*KEY).agg(F.collect_list(F.struct(*[n for n in names if n not in KEY])).alias("wanted"))
-    texts = possible_partners(docs.select("text", *KEY), lists, KEY).join(lists, KEY).select("text", *KEY, "wanted")
+def all_line_tokens(docs: DataFrame) -> DataFrame:
+    """``(_id, _th, line, tokens)`` of every line with words; the distinct tokens as bytes."""
+    names = [*KEY, "line", "tokens"]
 
-    def cut(batches):
-        for batch in batches:
-            out = []
-            for text, key, th, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                lines = lowered(text).split(b"\n")
-                for w in wanted:
-                    _, tokens, _ = line_tokens(lines[w["line"]])
-                    row = (w["family"], w["block"], w["_blocks"], w["c1"], w["c2"], key, th, w["line"], np.unique(tokens).astype("<u8").tobytes())
-                    out.append(row)
-            if out:
-                kinds = [pa.int64()] * 8 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], [*names, "tokens"])
+    def find(batches):
+        for data, said in _chunks(batches):
+            line, tokens, _ = line_tokens(data)
+            if not len(line):
+                continue
+            order = np.lexsort((tokens, line))
+            line, tokens = line[order], tokens[order]
+            new = np.ones(len(line), bool)
+            new[1:] = (line[1:] != line[:-1]) | (tokens[1:] != tokens[:-1])
+            line, tokens = line[new], tokens[new]
+            used, begins = np.unique(line, return_index=True)
+            firsts = np.array([s[2] for s in said])
+            at = np.searchsorted(firsts, used, "right") - 1
+            key = np.array([s[:2] for s in said], np.int64).reshape(-1, 2)[at]
+            own = used - firsts[at] + np.array([s[3] for s in said])[at]
+            offsets = (8 * np.append(begins, len(tokens))).astype(np.int32)
+            blobs = pa.BinaryArray.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(tokens.astype("<u8").tobytes())])
+            columns = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in (key[:, 0], key[:, 1], own)]
+            yield pa.RecordBatch.from_arrays([*columns, blobs], names)
+
+    return docs.select("text", *KEY).mapInArrow(find, "_id bigint, _th bigint, line bigint, tokens binary")
+
+
+def _partners_by_token(keys: DataFrame) -> DataFrame:
+    """``(key, run, c1, before)`` of the lines that can have a partner with their token ``key``.
+
+    In the order of size, a token's lines are cut into runs wherever the next line is too long
+    for the one before (length filter). Of a run, each line but the first is tied to the one
+    ``before``.
+    """
+    once = keys.groupBy("key", "c1").agg(F.min("n").alias("n"))
+    order = Window.partitionBy("key").orderBy("n", "c1")
+    cut = F.coalesce(4 * F.lag("n").over(order) < 3 * F.col("n"), F.lit(True)).cast("bigint")
+    runs = once.withColumn("_cut", cut).withColumn("run", F.sum("_cut").over(order))
+    run = Window.partitionBy("key", "run").orderBy("n", "c1")
+    tied = runs.withColumn("before", F.lag("c1").over(run)).withColumn("_after", F.lead("c1").over(run))
+    return tied.where("before IS NOT NULL OR _after IS NOT NULL").select("key", "run", "c1", "before")
+
+
+def _meetings(tied: DataFrame, families: DataFrame, block: int) -> DataFrame:
+    """``(c1, groups array<struct<g1, g2, block, blocks>>)``: where the lines of a class meet others.
 
-    return texts.mapInArrow(cut, ", ".join(f"{n} bigint" for n in names) + ", tokens binary")
+    A family of up to ``block`` lines meets as a whole. A larger one is a chain of lines with
+    few tokens in common: its lines meet for each token they are tied by."""
+    sizes = families.groupBy("family").agg(F.count("*").alias("_n"))
+    sized = families.join(sizes, "family")
+    whole = sized.where(F.col("_n") <= block).select("c1", F.col("family").alias("g1"), F.lit(0).cast("bigint").alias("g2"), F.lit(1).cast("bigint").alias("blocks"))
+    split = possible_partners(tied, sized.where(F.col("_n") > block), ["c1"]).join(sized.where(F.col("_n") > block).select("c1"), "c1")
+    fill = split.groupBy("key", "run").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    parts = split.join(fill, ["key", "run"]).select("c1", F.col("key").alias("g1"), F.col("run").alias("g2"), "blocks")
+    every = whole.unionByName(parts).withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks")))
+    return every.groupBy("c1").agg(F.collect_list(F.struct("g1", "g2", "block", "blocks")).alias("groups"))
 
 
 def repeated_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -258,18 +295,19 @@ def repeated_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     first = F.min(F.struct(*KEY, "line")).alias("first")
     classes = materialize(lines.groupBy("c1", "c2").agg(first, F.count("*").alias("n")), "line-classes")
 
-    keys = lines.where(F.size("keys") > 0).select("c1", F.explode("keys").alias("key"))
+    keys = lines.where(F.size("keys") > 0).select("c1", "n", F.explode("keys").alias("key"))
     shared = materialize(keys.groupBy("key").count().where("count > 1").select("key"), "shared-tokens")
-    tied = materialize(possible_partners(keys, shared, ["key"]).join(shared, "key").distinct(), "tied-lines")
-    centres = tied.groupBy("key").agg(F.min("c1").alias("a"))
-    ties = tied.join(centres, "key").where("a <> c1").select("a", F.col("c1").alias("b")).distinct()
-    families = components(ties).select(F.col("node").alias("c1"), F.col("label").alias("family"))
-
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / block).alias("_blocks"))
-    placed = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("c1"), F.col("_blocks")))
-    wanted = possible_partners(classes, placed, ["c1"]).join(placed, "c1").select("family", "block", "_blocks", "c1", "c2", "first.*")
-    members = _with_tokens(docs, materialize(wanted, "family-lines"))
-    members = members.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
+    tied = materialize(_partners_by_token(possible_partners(keys, shared, ["key"]).join(shared, "key")), "tied-lines")
+    families = components(tied.where("before IS NOT NULL").select(F.col("before").alias("a"), F.col("c1").alias("b")).distinct())
+    families = families.select(F.col("node").alias("c1"), F.col("label").alias("family"))
+
+    placed = materialize(_meetings(tied, families, block), "meetings")
+    wanted = possible_partners(classes, placed, ["c1"]).join(placed, "c1").select("c1", "c2", "first.*", "groups")
+    wanted = materialize(wanted, "family-lines")
+    place = [*KEY, "line"]
+    texts = possible_partners(all_line_tokens(docs), wanted, place).join(wanted, place)
+    members = texts.select(*place, "c1", "c2", "tokens", F.explode("groups").alias("_g")).select(*place, "c1", "c2", "tokens", "_g.*")
+    members = members.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     members = members.withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other"))
     matched = _family_matches(members).distinct()
 
