@@ -61,6 +61,58 @@ def test_small_sources_share_a_stream(spark):
     assert streams == {"big", POOL}
 
 
+def characters(rows, got):
+    """Characters of each source up to the end of each slot, and the last slot's number."""
+    size = {r[0]: len(r[1]) for r in rows}
+    by_slot = {}
+    for r in got:
+        by_slot.setdefault(r.slot, Counter())[r.source] += size[r.doc_id]
+    total, out = Counter(), []
+    for slot in range(max(by_slot) + 1):
+        total.update(by_slot.get(slot, {}))
+        out.append(Counter(total))
+    return out
+
+
+def test_pooled_sources_keep_their_own_weights(spark):
+    draw = random.Random(4)
+    names = [f"s{k:03d}" for k in range(100)]
+    rows = [(i, "x" * draw.randint(20, 90), names[i % 100 if i < 6000 else i % 20]) for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text)
+    total = sum(sizes.values())
+    assert max(sizes.values()) * 64 < total or len([s for s in names if sizes[s] * 64 < total]) > 70
+    pull = {s: (n / total) ** 0.9 for s, n in sizes.items()}
+    got = mix_slots(df, block_chars=2000).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows}
+    prefixes = characters(rows, got)
+    for t in (len(prefixes) // 4, len(prefixes) // 2, len(prefixes) - 1):
+        seen = sum(prefixes[t].values())
+        assert all(abs(prefixes[t][s] - seen * pull[s] / sum(pull.values())) < 2000 * 0.1 + 90 * 3 for s in names if sizes[s] * 64 < total)
+
+
+@pytest.mark.parametrize("shares", [{"a": 700, "b": 295, "c": 5}, {"a": 995, "b": 5}, {"a": 500, "b": 500}])
+def test_no_large_source_loses_its_stream(spark, shares):
+    rows = [(i, "x" * 50, s) for i, s in enumerate(s for s, n in shares.items() for _ in range(n))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mix_slots(df, block_chars=1000).collect()
+    assert {r.source: r.stream for r in got} == {s: s if n > 100 else POOL for s, n in shares.items()}
+    pull = {s: (n / 1000) ** 0.9 for s, n in shares.items()}
+    last = characters(rows, got)[-1]
+    assert all(abs(last[s] / sum(last.values()) - w / sum(pull.values())) < 0.02 for s, w in pull.items())
+
+
+def test_small_named_source_has_its_weight(spark):
+    rows = [(i, "x" * 50, "big" if i < 990 else "low") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mix_slots(df, {"big": 0.8, "low": 0.2}, block_chars=1000).collect()
+    assert {r.stream for r in got} == {"big", "low"}
+    for prefix in characters(rows, got)[50:]:
+        assert abs(prefix["low"] / sum(prefix.values()) - 0.2) < 0.03
+
+
 def test_odd_rows(spark):
     df = odd_documents(spark)
     mixed = mix_documents(df)
