@@ -20,15 +20,15 @@ from rarespark.operators.neighbors import nearest_neighbors, neighbor_rows
 from rarespark.operators.oversample import rows_to_add, smote, smote_oversample
 from rarespark.plans import experiment, reports, search
 from rarespark.session import scratch_path
-from rarespark.settings import N_TRIALS, RATE_GRID, SEED
+from rarespark.settings import LATENT_GRID, N_TRIALS, RATE_GRID, SEED
 from rarespark.sources.tables import content_types, header_schema, load_transactions, read_table, write_csv, write_json
 
 BY = ["scenario"]
 RATE = 0.2
 FIXED_THRESHOLD = 0.3
 FIXED_LATENT, FIXED_SCALE = 8, 0.2
-FEW_TREES = TreeParams(n_estimators=10, learning_rate=0.1, num_leaves=16, min_child_samples=20, patience=5)
-SHORT_TRAINING = {"epochs": 3}
+# the number of trees is all that the training queries lower
+TREES, SEARCH_TREES = 10, 5
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -314,41 +314,41 @@ def _parts(spark, root):
 def gbt_scores(spark, root):
     train, valid, test = _parts(spark, root)
     weight = split.class_counts(train, "y").first()["pos_weight"]
-    return fit_boosted(train, valid, FEW_TREES.with_values(scale_pos_weight=weight)).scores(test, ["id", "y"])
+    return fit_boosted(train, valid, TreeParams(n_estimators=TREES, scale_pos_weight=weight)).scores(test, ["id", "y"])
 
 
 def gbt_staged_ap(spark, root):
     train, valid, _ = _parts(spark, root)
-    return staged_average_precision(fit_boosted(train, valid, FEW_TREES), valid)
+    return staged_average_precision(fit_boosted(train, valid, TreeParams(n_estimators=TREES)), valid)
 
 
 def ae_oversample(spark, root):
     rows = inputs.vectors(spark, root).persist()
     minority = rows.where("y = 1")
-    model = fit_autoencoder(minority, 8, **SHORT_TRAINING)
+    model = fit_autoencoder(minority, 8)
     return latent_oversample(rows, model, RATE, latent_anchors(model, minority))
 
 
 def ae_encode(spark, root):
     minority = inputs.vectors(spark, root).where("y = 1")
-    return fit_autoencoder(minority, 8, **SHORT_TRAINING).encode(minority).select("id", "features")
+    return fit_autoencoder(minority, 8).encode(minority).select("id", "features")
 
 
 def search_trials(spark, root):
     train, valid, _ = _parts(spark, root)
-    _, log = search.search_trees(train, valid, FEW_TREES.with_values(n_estimators=5), trials=2)
+    _, log = search.search_trees(train, valid, TreeParams(n_estimators=SEARCH_TREES), N_TRIALS)
     return spark.createDataFrame(log)
 
 
 def sensitivity_grid(spark, root):
     train, valid, _ = _parts(spark, root)
-    return search.sensitivity_grid(train, valid, FEW_TREES.with_values(n_estimators=5), [8, 16], [0.1, 0.2], **SHORT_TRAINING)
+    return search.sensitivity_grid(train, valid, TreeParams(n_estimators=SEARCH_TREES), LATENT_GRID, RATE_GRID)
 
 
 def _outcome(spark, root) -> experiment.Outcome:
     protocol = experiment.Protocol(
-        key="id", target="y", categorical=["o_custkey"], trees=FEW_TREES.with_values(n_estimators=5),
-        sensitivity_estimators=5, latent_dims=[8], rates=[0.1, 0.2], trials=2, autoencoder=SHORT_TRAINING,
+        key="id", target="y", categorical=["o_custkey"],
+        trees=TreeParams(n_estimators=SEARCH_TREES), sensitivity_estimators=SEARCH_TREES,
     )
     return experiment.run(inputs.transactions(spark, root), protocol)
 
