@@ -8,9 +8,11 @@ the last output keep a span. Where the text lies inside a span is found by
 rendering the turn with two probe texts that differ in every character: what the
 two outputs share in front and behind is the template's.
 
-Conversations of more than ``PART_TURNS`` turn numbers are rendered in parts, each in its own
-group, with up to ``CONTEXT`` turns before it as context, so one huge conversation
-is spread over tasks and the work stays linear. A template may look back that far.
+A template is rendered on the whole conversation, for it may depend on any turn, unless it has
+an attribute ``look_back``: it then promises that the output of a turn depends on that many
+turns before it only, on none behind it, and on the number of all before the list. Conversations
+of more than ``PART_TURNS`` turns are then rendered in parts, each in its own group, with exactly
+so many earlier turns as context, so one huge conversation is spread over tasks.
 
 Null role or text counts as empty, null turns come first, rows with equal turns
 are put in the order of role and text and all kept; a null ``conv_id`` is a
@@ -26,11 +28,10 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_TURNS = 64
-CONTEXT = 2
 TRAINED_ROLE = "assistant"
 
 # --- fixed values: control strings of widespread chat formats ----------------
@@ -69,6 +70,8 @@ def marked_turns(turns: Turns, before: int = 0) -> str:
     return "".join(f"{TURN_START}{head(role)}\n{escape(text)}{TURN_END}\n" for role, text in turns)
 
 
+marked_turns.look_back = 0
+
 _TURN = re.compile(re.escape(TURN_START) + r"((?:[^\\\n]|\\.)*)\n(.*?)" + re.escape(TURN_END) + "\n", re.DOTALL)
 
 
@@ -125,18 +128,37 @@ def _rows(batches) -> Iterator[tuple]:
         yield from zip(*(column.to_pylist() for column in batch.columns))
 
 
+def _in_parts(rows: DataFrame, part_turns: int, look_back: int) -> DataFrame:
+    """Parts of ``part_turns`` turns and the ``look_back`` turns before each. Places are counted in
+    ranges of turn numbers and the ranges by running sums, so no conversation has to meet in one task."""
+    rows = rows.withColumn("_range", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-(1 << 62))))
+    sizes = rows.groupBy("conv_id", "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("conv_id").alias("_conv"), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("conv_id", "_range").orderBy("turn", "role", "text")
+    rows = rows.withColumn("_i", F.row_number().over(inside) - 1)
+    rows = rows.join(sizes, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_range") == F.col("_of")))
+    place = F.col("_before") + F.col("_i")
+    own = F.floor(place / part_turns)
+    # the parts that have the turn among their own or among those before them
+    last = F.floor((place + look_back) / part_turns)
+    rows = rows.withColumn("_own", own).withColumn("part", F.explode(F.sequence(own, last)))
+    return rows.select("conv_id", "part", (F.col("part") != F.col("_own")).alias("_ctx"), "turn", "role", "text")
+
+
 def format_conversations(conversations: DataFrame, template: Template = marked_turns, part_turns: int = PART_TURNS) -> DataFrame:
     """One row per part of a conversation (most have one): the formatted text and
-    the span of each turn in it. The loss mask is the text of the assistant's turns."""
+    the span of each turn in it. The loss mask is the text of the assistant's turns. Only
+    templates with a ``look_back`` are rendered in parts."""
     rows = conversations.select(
         F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    own = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0))
-    near_end = F.col("turn") % part_turns >= part_turns - CONTEXT
-    parts = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
-    rows = rows.withColumn("_own", own).withColumn("part", F.explode(parts)).withColumn("_ctx", F.col("part") != F.col("_own"))
-    rows = rows.select("conv_id", "part", "_ctx", "turn", "role", "text")
+    look_back = getattr(template, "look_back", None)
+    if look_back is None:
+        rows = rows.select("conv_id", F.lit(0).cast("bigint").alias("part"), F.lit(False).alias("_ctx"), "turn", "role", "text")
+    else:
+        rows = _in_parts(rows, part_turns, look_back)
 
     def render(batches):
         waiting, size = [], 0
@@ -146,7 +168,7 @@ def format_conversations(conversations: DataFrame, template: Template = marked_t
                 (context if row[2] else turns).append((row[4], row[5]))
             if not turns:
                 continue  # only the end of the part before
-            text, spans, rewrites = render_part(template, context[-CONTEXT:], turns, max(0, part * part_turns))
+            text, spans, rewrites = render_part(template, context, turns, part * part_turns - len(context))
             waiting.append((conv_id, part, len(turns), text, spans, rewrites))
             size += len(text)
             if size > 4 << 20:

@@ -75,3 +75,31 @@ def test_digests_against_brute_force(spark, part_turns):
 def test_no_conversations(spark):
     df = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert conversation_digests(format_conversations(df)).count() == 0
+
+
+LONG = [(7, 3 * t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(130)]
+
+
+def test_rewriting_template_is_rendered_on_the_whole_conversation(spark):
+    df = spark.createDataFrame(LONG, "conv_id bigint, turn bigint, role string, text string")
+    (row,) = format_conversations(df, last_only).collect()
+    assert (row.n_turns, row.formatted, row.rewrites_history) == (130, last_only([r[2:] for r in LONG]), True)
+    assert [row.formatted[s.text_start : s.text_end] for s in row.spans if s.loss] == ["turn 129"]
+
+
+def numbered(turns, before=0):
+    """Each turn with its number and the text of the second turn before it."""
+    return "".join(f"[{before + k} {turns[k - 2][1] if k > 1 else '-'}|{r}]{t}\n" for k, (r, t) in enumerate(turns))
+
+
+numbered.look_back = 2
+
+
+@pytest.mark.parametrize("part_turns", [64, 7, 1])
+def test_parts_have_the_promised_turns_before_them(spark, part_turns):
+    gaps = [(c, t + (1000 if t > 60 else 0), r, x) for c, t, r, x in LONG]
+    df = spark.createDataFrame(gaps, "conv_id bigint, turn bigint, role string, text string")
+    parts = sorted(format_conversations(df, numbered, part_turns).collect(), key=lambda r: r.part)
+    assert len(parts) == -(-130 // part_turns) and "".join(r.formatted for r in parts) == numbered([r[2:] for r in LONG])
+    assert not any(r.rewrites_history for r in parts)
+    assert [r.formatted[s.text_start : s.text_end] for r in parts for s in r.spans if s.loss] == [f"turn {t}" for t in range(1, 130, 2)]
