@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rarespark.functions.draws import uniform
@@ -120,9 +120,29 @@ def held_out_scores(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
 DIRTY_TEXT = "doc_id string, title string, size string, code string, hole string"
 
 
-def dirty_csv_lines(spark: SparkSession, root: str) -> DataFrame:
-    """CSV lines with doubled quotes, commas inside quotes, missing markers, padded numbers and blanks."""
-    head = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 30), "[\\r\\n]", " ")
+# line ends would keep a CSV file from being split; none of these pairs is part of another one's text
+LINE_MARKS = [("\\", "\\s"), ("\n", "\\n"), ("\r", "\\r")]
+
+
+def without_line_ends(text: Column) -> Column:
+    for sign, mark in LINE_MARKS:
+        text = F.replace(text, F.lit(sign), F.lit(mark))
+    return text
+
+
+def with_line_ends(text: Column) -> Column:
+    """The inverse of ``without_line_ends``."""
+    for sign, mark in reversed(LINE_MARKS):
+        text = F.replace(text, F.lit(mark), F.lit(sign))
+    return text
+
+
+def dirty_csv_lines(spark: SparkSession, root: str, whole: bool = False) -> DataFrame:
+    """CSV lines with doubled quotes, commas inside quotes, missing markers, padded numbers and blanks.
+
+    The title holds the ``whole`` text with marked line ends, or its first 30 characters."""
+    text = F.coalesce("text", F.lit(""))
+    head = without_line_ends(text) if whole else F.regexp_replace(F.substring(text, 1, 30), "[\\r\\n]", " ")
     title = F.concat(F.lit('"<'), F.regexp_replace(F.concat(head, F.lit(', "'), "lang", F.lit('">')), '"', '""'), F.lit('"'))
     kind = F.pmod("doc_id", F.lit(5))
     size = F.when(kind == 0, "NA").when(kind == 1, "").when(kind == 2, F.concat(F.lit(" "), "n_chars", F.lit(" "))).otherwise(F.concat("n_chars", F.lit(".5")))

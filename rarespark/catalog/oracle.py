@@ -291,6 +291,11 @@ def statements() -> dict[str, str]:
         CASE WHEN doc_id % 5 < 2 THEN NULL WHEN doc_id % 5 = 2 THEN n_chars::DOUBLE ELSE n_chars + 0.5 END::DOUBLE AS size,
         CASE doc_id % 5 WHEN 3 THEN NULL WHEN 4 THEN '1.0d' ELSE n_chars::VARCHAR END AS code, NULL::DOUBLE AS hole
       FROM documents"""
+    sql["csv_whole_text"] = """
+      SELECT doc_id, '<' || coalesce(text, '') || ', "' || lang || '">' AS title,
+        CASE WHEN doc_id % 5 < 2 THEN NULL WHEN doc_id % 5 = 2 THEN n_chars::DOUBLE ELSE n_chars + 0.5 END::DOUBLE AS size,
+        CASE doc_id % 5 WHEN 3 THEN NULL WHEN 4 THEN '1.0d' ELSE n_chars::VARCHAR END AS code, NULL::DOUBLE AS hole
+      FROM documents"""
     sql["csv_round_trip"] = f"SELECT o_orderkey, o_orderstatus, {_r('o_totalprice', 'o_totalprice')}, o_orderpriority FROM orders"
     sql["json_round_trip"] = (
         f"SELECT o_custkey, o_orderkey, {_r('o_totalprice', 'o_totalprice')}, o_orderstatus AS status, o_orderpriority AS priority FROM orders"

@@ -55,10 +55,9 @@ def csv_source(spark, root):
     return loaded.withColumn("n_lines", F.col("n_lines").cast("double"))
 
 
-def csv_dirty(spark, root):
-    """Hand-made CSV lines of the documents: quotes, commas, missing markers and blanks, in columns whose types are found."""
+def _dirty_table(spark, lines):
     path = f"{scratch_path(spark, 'dirty')}/dirty.csv"
-    inputs.dirty_csv_lines(spark, root).write.text(path)
+    lines.write.text(path)
     folder, header = path.rpartition("/")[0], False
     raw = read_table(spark, folder, "dirty", inputs.DIRTY_TEXT, header=header)
     kinds = content_types(raw)
@@ -66,6 +65,17 @@ def csv_dirty(spark, root):
     return read_table(spark, folder, "dirty", typed, header=header)
 
 
+def csv_dirty(spark, root):
+    """Hand-made CSV lines of the documents: quotes, commas, missing markers and blanks, in columns whose types are found."""
+    return _dirty_table(spark, inputs.dirty_csv_lines(spark, root))
+
+
+def csv_whole_text(spark, root):
+    """The same with the whole text of every document."""
+    rows = _dirty_table(spark, inputs.dirty_csv_lines(spark, root, whole=True))
+    return rows.withColumn("title", inputs.with_line_ends(F.col("title")))
+
+
 def csv_round_trip(spark, root):
     """The orders, written as CSV with a header and read back with the types that are found."""
     folder = scratch_path(spark, "round-trip")
@@ -362,7 +372,7 @@ def experiment_document(spark, root):
 
 
 _REGISTERED = [
-    left_join_side, csv_source, csv_dirty, csv_round_trip, json_round_trip, stratified_split, split_summary, rate_percent, split_disjoint, dup_keys, null_target,
+    left_join_side, csv_source, csv_dirty, csv_whole_text, csv_round_trip, json_round_trip, stratified_split, split_summary, rate_percent, split_disjoint, dup_keys, null_target,
     freq_table, num_stats, preprocessing_summary, encode_dense, encode_mixed, saved_preprocessor, coerce_numeric, finite_check, class_weight,
     class_weight_train, synth_counts, average_precision, roc_auc, metrics_at_threshold, decisions, threshold_sweep,
     threshold_sweep_rounded, best_threshold, pr_curve, roc_curve, roc_curve_full, knn, smote_vectors, smote_features,
