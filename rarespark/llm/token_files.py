@@ -56,7 +56,7 @@ def _uri(folder: str) -> str:
     return folder if ":/" in folder else f"file://{folder}"
 
 
-def train_dictionary(docs: DataFrame, vocabulary: str, kind: str) -> bytes:
+def train_dictionary(docs: DataFrame, vocabulary: str, kind: str, width: int = 2) -> bytes:
     """Dictionary bytes (empty if there is too little text to train on)."""
     import zstandard
 
@@ -68,7 +68,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, kind: str) -> bytes:
     def encode(batches):
         code = encoder(vocabulary, kind).encode
         for batch in batches:
-            some = [_narrow(code(text)[: 4 * SAMPLE_IDS], 2) for text in batch.column(0).to_pylist()]
+            some = [_narrow(code(text)[: 4 * SAMPLE_IDS], width) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["ids"])
 
     samples = [bytes(row.ids) for row in texts.mapInArrow(encode, "ids binary").limit(SAMPLE_DOCS).collect() if row.ids]
@@ -80,7 +80,18 @@ def train_dictionary(docs: DataFrame, vocabulary: str, kind: str) -> bytes:
 
 
 def _narrow(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and int(wide.max()) >> 8 * width:
+        raise ValueError(f"id {wide.max()} does not fit {width} bytes")
+    return wide.astype(f"<u{width}").tobytes()
+
+
+def id_width(vocabulary: str, end_id: int, vocabulary_size: int | None = None) -> int:
+    """Bytes that hold all ids of the tokenizer file, added ones too, and the end id."""
+    from tokenizers import Tokenizer
+
+    last = max(Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True).values(), default=0)
+    return 2 if max(last, end_id, (vocabulary_size or 1) - 1) < 1 << 16 else 4
 
 
 class _Shard:
@@ -142,15 +153,17 @@ class ShardReader:
 
 
 def write_token_files(
-    docs: DataFrame, folder: str, vocabulary: str, kind: str = "byte", end_id: int = 2, vocabulary_size: int = 1 << 16
+    docs: DataFrame, folder: str, vocabulary: str, kind: str = "byte", end_id: int = 2, vocabulary_size: int | None = None
 ) -> DataFrame:
-    """Write all documents; returns the manifest, one row per shard (stored, so it can be read again)."""
+    """Write all documents; returns the manifest, one row per shard (stored, so it can be read again).
+
+    The width of the ids follows from the tokenizer file; ``vocabulary_size`` can only raise it."""
     folder = _uri(folder)
-    dictionary = train_dictionary(docs, vocabulary, kind)
+    width = id_width(vocabulary, end_id, vocabulary_size)
+    dictionary = train_dictionary(docs, vocabulary, kind, width)
     with _open(f"{folder}/dictionary", "w") as file:
         file.write(dictionary)
     said = hashlib.sha256(dictionary).hexdigest()
-    width = 2 if vocabulary_size <= 1 << 16 else 4
     end = array("I", [end_id]).tobytes()
 
     def write(batches):

@@ -3,8 +3,9 @@ from array import array
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
+from tokenizers.models import WordLevel
 
-from rarespark.llm.token_files import ShardReader, read_document, read_token_files, write_token_files
+from rarespark.llm.token_files import ShardReader, _narrow, id_width, read_document, read_token_files, write_token_files
 from tests.llm.odd import ROWS, no_documents, odd_documents, text_of
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,3 +44,17 @@ def test_other_dictionary_is_refused(spark, tmp_path):
 def test_no_documents(spark, tmp_path):
     manifest = write_token_files(no_documents(spark), str(tmp_path), PATH)
     assert read_token_files(spark, str(tmp_path), manifest).count() == 0
+
+
+def test_wide_ids_are_not_wrapped(spark, tmp_path):
+    manifest = write_token_files(odd_documents(spark), str(tmp_path), PATH, end_id=70_000)
+    got = read_token_files(spark, str(tmp_path), manifest).collect()
+    assert got and {array("I", bytes(r.ids))[-1] for r in got} == {70_000}
+
+
+def test_width_follows_the_tokenizer_file(tmp_path):
+    path = str(tmp_path / "large.json")
+    Tokenizer(WordLevel({f"w{i}": i for i in range(70_000)}, "w0")).save(path)
+    assert id_width(path, 2) == 4 and id_width(PATH, 2) == 2 and id_width(PATH, 2, 1 << 17) == 4
+    with pytest.raises(ValueError, match="does not fit"):
+        _narrow(array("I", [1, 65_536]).tobytes(), 2)
