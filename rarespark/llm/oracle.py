@@ -74,4 +74,105 @@ FROM documents d LEFT JOIN sizes z USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) r USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op7_near_dup": _NEAR, "op1_url_filter": _URL, "op6_chat_format": _CHAT}
+_SEARCH = r"""
+WITH said AS (
+  SELECT row_number() OVER () AS d, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), sizes AS (
+  SELECT d, doc_id, len(w) AS n FROM said WHERE len(w) > 0
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM sizes
+), tfs AS (
+  SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM said) GROUP BY d, t
+), asked AS (
+  SELECT DISTINCT item_id, text, unnest(list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS t
+  FROM benchmark
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, totals GROUP BY t, docs
+), scored AS (
+  SELECT item_id, text, d, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // l)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (t) JOIN tfs USING (t) JOIN sizes USING (d), totals GROUP BY ALL
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+def _best(*ways: str) -> str:
+    return f"list_min(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))"
+
+
+def _way(state: str, cost: str, edit: str, line: str) -> str:
+    """``state`` one edit further: a struct of ``cost|audit`` (compared first) and the repaired text."""
+    said = f"CASE WHEN {line} IS NULL THEN {state}.r WHEN {state}.r IS NULL THEN {line} ELSE {state}.r || chr(10) || {line} END"
+    label = f"lpad(CAST(CAST(substr({state}.k, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({state}.k, 10) || '{edit}'"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'k': {label}, 'r': {said}}} END"
+
+
+def _when(condition: str, way: str) -> str:
+    return f"CASE WHEN {condition} THEN {way} END"
+
+
+_STAY, _LINE = "fault NOT IN (1, 2)", "role || ':' || text"
+_ROW = {
+    "z": [_way("z", "2", "D", "NULL")],
+    "s": [_way("s", "2", "D", "NULL"), _when(f"{_STAY} AND i = 's'", _way("z", "more", "K", _LINE))],
+    "u": [_way("u", "2", "D", "NULL")]
+    + [_when(f"{_STAY} AND i = 'u'", _way(x, "more", "K", _LINE)) for x in "zsa"]
+    + [_when(_STAY, _way(x, "1 + more", "R", "'user:' || text")) for x in "zsa"],
+    "a": [_way("a", "2", "D", "NULL"), _when(f"{_STAY} AND i = 'a'", _way("u", "more", "K", _LINE)), _when(_STAY, _way("u", "1 + more", "R", "'assistant:' || text"))],
+}
+_PUT = {
+    "z": ["z"], "s": ["s"],
+    "u": ["u", *[_way(x, "5", "I", "'user:'") for x in "zsa"]],
+    "a": ["a", _way("u", "5", "I", "'assistant:'")],
+}
+# an empty row put in before each row and at the end is enough: two in a row are never cheapest
+_REPAIR = rf"""
+WITH RECURSIVE bits(x, c, n) AS (
+  SELECT range, range, 0 FROM range(256) UNION ALL SELECT x, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n + 1 FROM bits WHERE n < 8
+), crc AS (
+  SELECT list(c ORDER BY x) AS t FROM bits WHERE n = 8
+), spaced AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), hashed AS (
+  SELECT s.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda b: CAST(ascii(b) AS BIGINT))),
+         lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS fate FROM spaced s, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) WHERE fate <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, substr(role, 1, 1) AS i FROM damaged
+), faulty AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS again,
+         regexp_replace(text, '[ 	-]+$', '') AS said, lag(i) OVER (PARTITION BY conv_id ORDER BY p) AS before FROM placed
+), rows AS (
+  SELECT *, CASE WHEN said = '' THEN 1 WHEN again THEN 2 WHEN NOT regexp_matches(said, '[.!?]$') THEN 3 ELSE 0 END AS fault FROM faulty
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM rows GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, n, 0::BIGINT AS p, {{'k': '000000000', 'r': NULL::VARCHAR}} AS z, NULL::STRUCT(k VARCHAR, r VARCHAR) AS s,
+         NULL::STRUCT(k VARCHAR, r VARCHAR) AS u, NULL::STRUCT(k VARCHAR, r VARCHAR) AS a FROM counted
+  UNION ALL
+  SELECT w.conv_id, n, w.p + 1, {", ".join(_best(*_ROW[x]) for x in "zsua")}
+  FROM (SELECT conv_id, n, p, {", ".join(f"{_best(*_PUT[x])} AS {x}" for x in "zsua")} FROM walk) w
+  JOIN (SELECT *, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS more FROM rows) r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.p = w.p + 1
+), ended AS (
+  SELECT conv_id, list_min(list_filter([z, {_best(*_PUT["a"])}], lambda x: x IS NOT NULL)) AS best FROM walk WHERE p = n
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(CAST(substr(best.k, 1, 9) AS BIGINT), 0) AS cost, coalesce(substr(best.k, 10), '') AS audit,
+       sha256(coalesce(best.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counted k ON c.conv_id IS NOT DISTINCT FROM k.conv_id
+LEFT JOIN ended e ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+SQL: dict[str, str] = {"op11_ranked_search": _SEARCH, "op12_repair": _REPAIR, "op7_near_dup": _NEAR, "op1_url_filter": _URL, "op6_chat_format": _CHAT}

@@ -104,6 +104,43 @@ def op10_fingerprints(spark: SparkSession, root: str) -> DataFrame:
     return compare_with_edited(read(spark, root, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, root: str) -> DataFrame:
+    from rarespark.llm.lexical import ranked_search
+
+    return ranked_search(read(spark, root, "documents"), read(spark, root, "benchmark").select("item_id", "text"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows lost, emptied, cut, repeated and given another role, by a checksum of conversation and turn."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", spaced("role").alias("role"), spaced("text").alias("text"), fate.alias("fate")).where("fate <> 0")
+    text = F.when(F.col("fate") == 1, F.lit("")).when(F.col("fate") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.when(F.col("fate") == 3, F.array_repeat(F.lit(1), 2)).otherwise(F.array(F.lit(1)))
+    role = F.when(F.col("fate") == 4, F.lit("user")).otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+def op12_repair(spark: SparkSession, root: str) -> DataFrame:
+    from rarespark.llm.repair import repair_conversations, repaired_digests
+
+    rows = read(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    reports, pieces, audits = repair_conversations(damaged(rows))
+    one = lambda df, name: df.select(F.col("conv_id").alias(name), *[c for c in df.columns if c != "conv_id"])
+    every = rows.select("conv_id").distinct()
+    same = lambda name: F.col("conv_id").eqNullSafe(F.col(name))
+    whole = every.join(one(reports, "_a"), same("_a"), "left").join(one(repaired_digests(pieces, audits), "_b"), same("_b"), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
+
+
+def op13_nearest(spark: SparkSession, root: str) -> DataFrame:
+    from rarespark.llm.nearest import nearest_vectors
+
+    return nearest_vectors(read(spark, root, "embeddings"), lambda i: F.pmod(i, F.lit(50)) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
@@ -115,4 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_fingerprints": op10_fingerprints,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_repair": op12_repair,
+    "op13_nearest": op13_nearest,
 }
