@@ -11,12 +11,14 @@ of ``TABLES`` tables, and all vectors filed there are compared with it exactly,
   few of its dimensions as bring them below it, and queries probe ``SECOND_SHARE`` of the
   second codes. What is still larger is cut into blocks, which every query of the code
   visits. So no group is larger than planned, and none is left out.
+* A query that finds fewer than ``k`` others visits every place of one table, which is exact.
 
 Recall of the five nearest (measured against brute force on the given tables, whose vectors have no
 structure, the hardest case) is in the README and in the tests.
 
 Vectors that are null, empty, zero or hold a null or non-finite component, and rows without an id,
-take no part. Only vectors of one dimension are compared. Repeated rows count once; an id with several vectors stands for several candidates.
+take no part. Only vectors of one dimension are compared. Repeated rows count once; an id with several
+vectors has an answer for each, and stands for a candidate of its nearest one.
 An empty table gives no rows.
 """
 
@@ -35,8 +37,8 @@ from rarespark.operators.joins import heavy_keys, salted_join
 from rarespark.session import materialize
 
 NEAREST = 5
-TABLES = 3
-PROBE_SHARE, SECOND_SHARE = 0.25, 0.5
+TABLES = 4
+PROBE_SHARE, SECOND_SHARE = 0.1875, 0.75
 GROUP_ROWS = 16384
 _QUERIES = 256
 _SLACK = 1e-9
@@ -114,10 +116,10 @@ class _Plan:
         self.fan: dict[tuple, int] = {}
         self.blocks: dict[tuple, int] = {}
 
-    def members(self, x: np.ndarray, spread: np.ndarray):
+    def members(self, x: np.ndarray, spread: np.ndarray, tables: int = TABLES):
         """For each table ``(codes, second codes, blocks)``."""
         d = x.shape[1]
-        for table in range(TABLES):
+        for table in range(tables):
             first = axis_order(rotated(x, table), 1)[:, 0]
             second, fans = np.zeros(len(x), np.int64), np.array([self.fan.get((d, table, c), 1) for c in first.tolist()])
             if (fans > 1).any():
@@ -128,11 +130,11 @@ class _Plan:
             blocks = np.array([self.blocks.get((d, table, c, s), 1) for c, s in zip(first.tolist(), second.tolist())])
             yield table, first, second, spread % blocks
 
-    def probes(self, x: np.ndarray):
+    def probes(self, x: np.ndarray, tables: int = TABLES, share: float = PROBE_SHARE, second_share: float = SECOND_SHARE):
         """``(row, table, code, second code, block)`` of every place that a query visits."""
         d = x.shape[1]
-        probes = math.ceil(PROBE_SHARE * 2 * (1 << (d - 1).bit_length()))
-        for table in range(TABLES):
+        probes = math.ceil(share * 2 * (1 << (d - 1).bit_length()))
+        for table in range(tables):
             near = axis_order(rotated(x, table), probes)
             y = rotated(x, table, 1) if any(k[:2] == (d, table) for k in self.fan) else None
             seconds: dict[int, np.ndarray] = {}
@@ -140,7 +142,7 @@ class _Plan:
                 for code in codes:
                     fan = self.fan.get((d, table, code), 1)
                     if fan > 1 and fan not in seconds:
-                        seconds[fan] = _second_codes(y, fan, math.ceil(SECOND_SHARE * fan))
+                        seconds[fan] = _second_codes(y, fan, math.ceil(second_share * fan))
                     for second in seconds[fan][row].tolist() if fan > 1 else (0,):
                         for block in range(self.blocks.get((d, table, code, second), 1)):
                             yield row, table, code, second, block
@@ -185,8 +187,10 @@ def _planned(points: DataFrame, group_rows: int) -> _Plan:
 _PLACES = ["d", "t", "c", "s", "b", "asks"]
 
 
-def _placed(points: DataFrame, plan: _Plan) -> DataFrame:
-    """Every vector once for each table, and once more for each place it has to visit as a query."""
+def _placed(points: DataFrame, plan: _Plan, everywhere: bool = False) -> DataFrame:
+    """Every vector once for each table, and once more for each place it has to visit as a query; ``everywhere``: in
+    one table, all of whose places are visited."""
+    tables, shares = (1, (1.0, 1.0)) if everywhere else (TABLES, (PROBE_SHARE, SECOND_SHARE))
     shared = points.sparkSession.sparkContext.broadcast(plan)
     names = [*_PLACES, "h1", "h2", "ids", "v"]
 
@@ -196,9 +200,9 @@ def _placed(points: DataFrame, plan: _Plan) -> DataFrame:
             spread = np.abs(batch.column(0).to_numpy() >> 8)
             for rows, x in _by_dimension(batch.column(3)):
                 unit, d = _unit(x), x.shape[1]
-                found = [np.stack([rows, np.full(len(rows), t), c, s, b, np.zeros(len(rows), np.int64)], 1) for t, c, s, b in shared.value.members(unit, spread[rows])]
+                found = [np.stack([rows, np.full(len(rows), t), c, s, b, np.zeros(len(rows), np.int64)], 1) for t, c, s, b in shared.value.members(unit, spread[rows], tables)]
                 asking = np.flatnonzero(asks[rows])
-                visits = np.array(list(shared.value.probes(unit[asking])), np.int64).reshape(-1, 5)
+                visits = np.array(list(shared.value.probes(unit[asking], tables, *shares)), np.int64).reshape(-1, 5)
                 found.append(np.concatenate([rows[asking[visits[:, 0]]][:, None], visits[:, 1:], np.ones((len(visits), 1), np.int64)], 1))
                 at = np.concatenate(found)
                 for start in range(0, len(at), 8192):
@@ -264,6 +268,14 @@ def _searched(placed: DataFrame, k: int) -> DataFrame:
     return placed.repartition(*group).sortWithinPartitions(*_PLACES).mapInArrow(search, "h1 bigint, h2 bigint, id bigint, score double")
 
 
+def _nearest_lists(found: DataFrame, k: int) -> DataFrame:
+    """``(h1, h2, near)``: the ``k`` best of what was found in all places, each id once."""
+    best = found.groupBy("h1", "h2", "id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "id")
+    best = best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    return best.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("_n", "id", "score"))).alias("near"))
+
+
 def nearest_vectors(
     vectors: DataFrame, is_query, key: str = "vec_id", column: str = "embedding", k: int = NEAREST, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
@@ -282,11 +294,14 @@ def nearest_vectors(
     points = points.select("h1", "h2", "ids", "v", F.coalesce("asks", F.lit(False)).alias("asks"))
     points = materialize(points, "points")
 
-    found = _searched(_placed(points, _planned(points, group_rows)), k + 1)
-    best = found.groupBy("h1", "h2", "id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "id")
-    best = best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
-    lists = best.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("_n", "id", "score"))).alias("near"))
+    plan = _planned(points, group_rows)
+    lists = materialize(_nearest_lists(_searched(_placed(points, plan), k + 1), k + 1), "nearest")
+    # every query finds itself; one that finds fewer than k more looks everywhere
+    short = asked.join(lists.where(F.size("near") > k), ["h1", "h2"], "left_anti")
+    if not short.isEmpty():
+        again = points.drop("asks").join(short, ["h1", "h2"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        whole = _nearest_lists(_searched(_placed(again.select(*points.columns), plan, True), k + 1), k + 1)
+        lists = lists.where(F.size("near") > k).unionByName(whole)
     # copies of one vector share its list
     answered = salted_join(queries, lists, ["h1", "h2"], heavy_keys(queries, "h1"), "h1", F.col("query_id"))
     others = F.slice(F.filter("near", lambda n: n["id"] != F.col("query_id")), 1, k)
