@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+SIDE_BY_SIDE = 4
+_Result = TypeVar("_Result")
+
 
 def local_session(cores: str | int = 8, app: str = "rarespark", **conf: str) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
@@ -18,6 +25,7 @@ def local_session(cores: str | int = 8, app: str = "rarespark", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.scheduler.mode", "FAIR")
         # small test tables should still use every core
         .config("spark.sql.files.openCostInBytes", "128k")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
@@ -64,3 +72,23 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def side_by_side(spark: SparkSession, calls: list[Callable[[], _Result]], width: int = SIDE_BY_SIDE) -> list[_Result]:
+    """Results of independent calls, in the order of the calls.
+
+    Up to ``width`` run at once, each in a scheduler pool of its own; pools share the
+    cluster evenly where ``spark.scheduler.mode`` is FAIR. A small job leaves most executors idle,
+    and others fill them. The first error is raised when all calls have ended.
+    """
+    if width <= 1 or len(calls) <= 1:
+        return [call() for call in calls]
+
+    def run(number: int, call: Callable[[], _Result]) -> _Result:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"side-{number % width}")
+        return call()
+
+    with ThreadPoolExecutor(width) as pool:
+        run = inheritable_thread_target(spark)(run)
+        futures = [pool.submit(run, i, call) for i, call in enumerate(calls)]
+    return [future.result() for future in futures]
