@@ -2,17 +2,18 @@
 
 A line's tokens are its distinct five-word shingles (its word sequence, if it has fewer
 words); lines are alike from a Jaccard similarity of 0.75 on. Tokens are put in
-one global order, the rare ones first. Two alike lines then share a token of
-their prefixes, the first ``n - ceil(0.75 n) + 1`` tokens:
-
-1. Rarity: occurrences are counted in ``SLOTS`` hashed counters (4 MB, whatever the data).
-2. Every line gives its prefix tokens. Those of one line only are dropped. The lines of a
-   token are tied in the order of their sizes, each to the one before if the length filter
-   lets it (no pairs are made), and tied lines make families.
-3. The lines of a family meet in one task with all their tokens. In a family of more than
-   ``BLOCK`` lines, those with a prefix token in common meet, in blocks again if there
-   are more than that. There the join runs with exact local
-   rarity: prefix index, length filter, positional filter, and verification on the whole sets.
+one global order, the rare ones first: a shingle is the rarer the rarer its words are, by
+counts of words in ``SLOTS`` hashed counters (4 MB, whatever the data; far fewer words are distinct than
+shingles). Alike lines of ``n`` tokens share at least two of their first ``n - ceil(0.75 n) + 2``:
+
+1. Prefix: a bitmap of ``SLOT_BITS`` slots (16 MB) marks the prefix tokens that lines with other
+   token sets have too. Lines with fewer than two marked tokens have no match but equal lines.
+2. The others meet by marked token, with their size, the token's position and a print of a byte for each of
+   their tokens. Length and positional filters and the prints (whose common
+   part is never smaller than that of the tokens) rule out nearly all pairs. Each line passes on up to
+   ``PARTNERS`` earlier partners, in effect alike ones, so a family of copies makes no pairs of all with all.
+3. These pairs are verified on the whole sets. Lines none of whose partners held, and which had more, look at
+   all of theirs. Tokens of more than ``block`` lines meet in pairs of blocks.
 
 A line is removed if an earlier line (by ``doc_id``, then place) has the same tokens or is
 alike, be the earlier one itself removed or not. So the verdicts depend on no order of
@@ -26,15 +27,11 @@ Null ids come first. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import groupby
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarespark.llm.components import components
 from rarespark.llm.prefilter import mark_possible, possible_partners
 from rarespark.llm.rows import KEY, keyed, wrapped
 from rarespark.llm.shingles import SHINGLE, chained, lowered, mix64, word_hashes
@@ -43,38 +40,46 @@ from rarespark.session import materialize
 
 SLOTS = 1 << 20
 _BLOBS = 64
-BLOCK = 8192
+SLOT_BITS = 27
+BLOCK = 32768
+PARTNERS = 3
+LEAST_TOKENS = 3
 _CHUNK = 1 << 19
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
+_HELD = 1 << 21
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
-    return n - -(-3 * n // 4) + 1
+    """So many first tokens that alike lines share two of them."""
+    return np.minimum(n, n - -(-3 * n // 4) + 2)
 
 
-def line_tokens(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """(line number, token hash) with repeats, and the number of lines of a lowered text."""
+def line_tokens(data: bytes, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(line number, token hash, summed level of its words) with repeats, and the number of lines of a lowered text."""
     starts, h = word_hashes(data)
     breaks = np.flatnonzero(np.frombuffer(data, "u1") == 10)
     line = np.searchsorted(breaks, starts)
-    lines, tokens = [], []
+    level = np.zeros(len(h), np.int64) if levels is None else levels[(h >> np.uint64(44)).astype(np.int64)].astype(np.int64)
+    lines, tokens, sums = [], [], []
     if len(h) >= SHINGLE:
         n = len(h) - SHINGLE + 1
         whole = line[:n] == line[SHINGLE - 1 :]
         lines.append(line[:n][whole]), tokens.append(chained(h, SHINGLE, n)[whole])
+        total = np.concatenate([[0], np.cumsum(level)])
+        sums.append((total[SHINGLE:] - total[:-SHINGLE])[whole])
     counts = np.bincount(line, minlength=len(breaks) + 1)
     first = np.cumsum(counts) - counts
     for words in range(1, SHINGLE):
         short = np.flatnonzero(counts == words)
         if len(short):
             run = h[first[short][:, None] + np.arange(words)]
-            sums = mix64(run[:, 0] + np.uint64(words))
+            found = mix64(run[:, 0] + np.uint64(words))
             for i in range(1, words):
-                sums = mix64(sums + run[:, i])
-            lines.append(short), tokens.append(sums)
+                found = mix64(found + run[:, i])
+            lines.append(short), tokens.append(found), sums.append(np.zeros(len(short), np.int64))
     if not lines:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), len(breaks) + 1
-    return np.concatenate(lines), np.concatenate(tokens), len(breaks) + 1
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), len(breaks) + 1
+    return np.concatenate(lines), np.concatenate(tokens), np.concatenate(sums), len(breaks) + 1
 
 
 def _chunks(batches):
@@ -102,14 +107,14 @@ def _chunks(batches):
         yield b"\n".join(parts), said
 
 
-def rarity_levels(docs: DataFrame) -> np.ndarray:
-    """Level of each counter: 0 for those that are no fuller than usual, one more for each doubling."""
+def word_levels(docs: DataFrame) -> np.ndarray:
+    """Level of each counter of words: twice the binary logarithm of its count."""
 
     def count(batches):
         counters = np.zeros(SLOTS, np.int64)
         for data, _ in _chunks(batches):
-            _, tokens, _ = line_tokens(data)
-            counters += np.bincount((tokens >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
+            _, h = word_hashes(data)
+            counters += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
         blobs = [b.astype("<i8").tobytes() for b in counters.reshape(_BLOBS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_BLOBS), pa.int64()), pa.array(blobs, pa.binary())], ["blob", "counts"])
 
@@ -126,192 +131,342 @@ def rarity_levels(docs: DataFrame) -> np.ndarray:
     counters = np.zeros((_BLOBS, SLOTS // _BLOBS), np.int64)
     for row in summed.collect():  # _BLOBS rows
         counters[row.blob] = np.frombuffer(row.counts, "<i8")
-    counters = counters.ravel()
-    usual = 2 * counters.mean() + 2
-    return np.ceil(np.log2(np.maximum(counters / usual, 1))).clip(0, 31).astype(np.uint8)
+    return np.round(2 * np.log2(np.maximum(counters.ravel(), 1))).astype(np.uint8)
+
+
+class _Lines:
+    """The token sets of the lines of a chunk, each in the global order."""
+
+    def __init__(self, data: bytes, levels: np.ndarray):
+        line, tokens, level, total = line_tokens(data, levels)
+        packed = (line.astype(np.uint64) << np.uint64(40)) | (level.astype(np.uint64) << np.uint64(29)) | (tokens >> np.uint64(35))
+        order = np.argsort(packed, kind="stable")
+        packed, tokens = packed[order], tokens[order]
+        if ((packed[1:] == packed[:-1]) & (tokens[1:] < tokens[:-1])).any():
+            again = np.lexsort((tokens, packed))
+            packed, tokens, order = packed[again], tokens[again], order[again]
+        line = line[order]
+        new = np.ones(len(line), bool)
+        new[1:] = (line[1:] != line[:-1]) | (tokens[1:] != tokens[:-1])
+        line, self.tokens = line[new], tokens[new]
+        n = np.bincount(line, minlength=total)
+        self.used = np.flatnonzero(n)
+        self.n = n[self.used]
+        self.begins = np.cumsum(self.n) - self.n
+        self.own = np.repeat(np.arange(len(self.used)), self.n)
+        if len(self.used):
+            self.c1 = np.add.reduceat(mix64(self.tokens), self.begins)
+            self.c2 = np.add.reduceat(mix64(self.tokens ^ _SECOND), self.begins)
+        place = np.arange(len(self.tokens)) - self.begins[self.own]
+        # shorter lines are alike to equal ones only
+        size = np.where(self.n >= LEAST_TOKENS, prefix_length(self.n), 0)
+        self.place, self.prefix = place, place < size[self.own]
+
+
+def shared_slots(docs: DataFrame, levels: np.ndarray) -> np.ndarray:
+    """Bitmap of the slots that prefix tokens of lines with different token sets fall into."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    width = (1 << SLOT_BITS) // _BLOBS
 
+    def find(batches):
+        held, size = [], 0
 
-def line_prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``(_id, _th, line, c1, c2, n, keys)`` of every line with words: the hash of its token set,
-    its size and its prefix tokens (given once for equal lines of one chunk)."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
-    names = [*KEY, "line", "c1", "c2", "n", "keys"]
+        def blobs():
+            every = np.unique(np.concatenate(held)) if held else np.empty(0, np.uint64)
+            cuts = np.searchsorted(every, np.arange(1, _BLOBS, dtype=np.uint64) * np.uint64(width) << np.uint64(32))
+            parts = [p.astype("<u8").tobytes() for p in np.split(every, cuts)]
+            return pa.RecordBatch.from_arrays([pa.array(range(_BLOBS), pa.int64()), pa.array(parts, pa.binary())], ["blob", "slots"])
+
+        for data, _ in _chunks(batches):
+            lines = _Lines(data, shared.value)
+            slot = lines.tokens[lines.prefix] >> np.uint64(64 - SLOT_BITS)
+            if len(slot):
+                held.append((slot << np.uint64(32)) | (lines.c1[lines.own[lines.prefix]] >> np.uint64(32)))
+                size += len(slot)
+            if size > _HELD:
+                yield blobs()
+                held, size = [], 0
+        yield blobs()
+
+    def mark(batches):
+        first: dict[int, np.ndarray] = {}
+        marks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for blob, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if blob not in first:
+                    first[blob], marks[blob] = np.full(width, -1, np.int64), np.zeros(width, bool)
+                both = np.frombuffer(data, "<u8")
+                slot, line = (both >> np.uint64(32)).astype(np.int64) - blob * width, (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                known = first[blob]
+                fresh = known[slot] < 0
+                known[slot[fresh]] = line[fresh]
+                marks[blob][slot[known[slot] != line]] = True
+        for blob, found in marks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.int64()), pa.array([np.packbits(found).tobytes()], pa.binary())], ["blob", "slots"])
+
+    schema = "blob bigint, slots binary"
+    found = docs.select("text", *KEY).mapInArrow(find, schema).repartition(_BLOBS, "blob").mapInArrow(mark, schema)
+    bits = np.zeros((_BLOBS, width // 8), np.uint8)
+    for row in found.collect():  # _BLOBS rows, SLOT_BITS bits in all
+        bits[row.blob] = np.frombuffer(row.slots, np.uint8)
+    return bits.ravel()
+
+
+_LINES = "_id bigint, _th bigint, line bigint, c1 bigint, c2 bigint, n bigint, keys array<bigint>, spots array<int>, tokens binary"
+
+
+def document_lines(docs: DataFrame, levels: np.ndarray, bits: np.ndarray) -> DataFrame:
+    """Every line with words: the hashes of its token set and its size; and for lines with two marked prefix tokens
+    these, their positions and the whole set as bytes (once for equal lines of a chunk)."""
+    shared = docs.sparkSession.sparkContext.broadcast((levels, bits))
+    names = [*KEY, "line", "c1", "c2", "n", "keys", "spots", "tokens"]
 
     def find(batches):
-        level_of = shared.value
+        levels, bits = shared.value
         for data, said in _chunks(batches):
-            line, tokens, total = line_tokens(data)
-            if not len(line):
+            lines = _Lines(data, levels)
+            used = len(lines.used)
+            if not used:
                 continue
-            level = level_of[(tokens >> np.uint64(44)).astype(np.int64)].astype(np.uint64)
-            packed = (line.astype(np.uint64) << np.uint64(40)) | (level << np.uint64(35)) | (tokens & np.uint64((1 << 35) - 1))
-            order = np.argsort(packed, kind="stable")
-            line, tokens = line[order], tokens[order]
-            new = np.ones(len(line), bool)
-            new[1:] = (line[1:] != line[:-1]) | (tokens[1:] != tokens[:-1])
-            line, tokens = line[new], tokens[new]
-            n = np.bincount(line, minlength=total)
-            used = np.flatnonzero(n)
-            begins = (np.cumsum(n) - n)[used]
-            c1 = np.add.reduceat(mix64(tokens), begins)
-            c2 = np.add.reduceat(mix64(tokens ^ _SECOND), begins)
-            size = prefix_length(n[used])
-            fresh = np.zeros(len(used), bool)
-            fresh[np.unique(c1, return_index=True)[1]] = True
-            size[~fresh] = 0
-            place = np.arange(len(tokens)) - np.repeat(begins, n[used])
-            keys = tokens[place < np.repeat(size, n[used])]
-            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            slot = (lines.tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            marked = lines.prefix & ((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
+            count = np.bincount(lines.own[marked], minlength=used)
+            fresh = np.zeros(used, bool)
+            fresh[np.unique(lines.c1, return_index=True)[1]] = True
+            wanted = fresh & (count >= 2)
+            keys = marked & wanted[lines.own]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(wanted, count, 0))]), pa.int32())
+            ends = np.concatenate([[0], np.cumsum(np.where(wanted, 8 * lines.n, 0))]).astype(np.int32)
+            whole = lines.tokens[wanted[lines.own]].astype("<u8").tobytes()
+            none = np.packbits(wanted, bitorder="little").tobytes()
+            tokens = pa.BinaryArray.from_buffers(pa.binary(), used, [pa.py_buffer(none), pa.py_buffer(ends.tobytes()), pa.py_buffer(whole)])
             firsts = np.array([s[2] for s in said])
-            at = np.searchsorted(firsts, used, "right") - 1
+            at = np.searchsorted(firsts, lines.used, "right") - 1
             key = np.array([s[:2] for s in said], np.int64).reshape(-1, 2)[at]
-            own = used - firsts[at] + np.array([s[3] for s in said])[at]
-            columns = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in (key[:, 0], key[:, 1], own, c1.view(np.int64), c2.view(np.int64), n[used])]
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*columns, lists], names)
-
-    return docs.select("text", *KEY).mapInArrow(find, "_id bigint, _th bigint, line bigint, c1 bigint, c2 bigint, n bigint, keys array<bigint>")
-
-
-def later_matches(lines: list[frozenset], order: list, blocks: list[int]) -> set[int]:
-    """Numbers of the lines that have an alike line before them in ``order``.
-
-    Shorter lines are indexed first. With two blocks, only pairs across them count."""
-    across = len(set(blocks)) > 1
-    often = Counter(t for tokens in lines for t in tokens)
-    ranked = [sorted(tokens, key=lambda t: (often[t], t)) for tokens in lines]
-    index: dict[int, list[tuple[int, int]]] = {}
-    removed: set[int] = set()
-    for x in sorted(range(len(lines)), key=lambda k: (len(lines[k]), k)):
-        tokens, n = ranked[x], len(lines[x])
-        overlap: dict[int, int] = {}
-        for i, token in enumerate(tokens[: n - -(-3 * n // 4) + 1]):
-            if often[token] == 1:
-                continue
-            for y, j in index.get(token, ()):
-                m = len(lines[y])
-                so_far = overlap.get(y, 0)
-                if so_far < 0 or 4 * m < 3 * n:
-                    continue
-                needed = -(-3 * (n + m) // 7)
-                overlap[y] = so_far + 1 if so_far + 1 + min(n - i - 1, m - j - 1) >= needed else -1
-        for y, so_far in overlap.items():
-            if so_far < 0 or (across and blocks[x] == blocks[y]):
-                continue
-            later = x if order[x] > order[y] else y
-            if later in removed:
-                continue
-            both = len(lines[x] & lines[y])
-            if 4 * both >= 3 * (n + len(lines[y]) - both):
-                removed.add(later)
-        for j, token in enumerate(tokens[: n - -(-6 * n // 7) + 1]):
-            if often[token] > 1:
-                index.setdefault(token, []).append((x, j))
-    return removed
+            own = lines.used - firsts[at] + np.array([s[3] for s in said])[at]
+            columns = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in (key[:, 0], key[:, 1], own, lines.c1.view(np.int64), lines.c2.view(np.int64), lines.n)]
+            lists = [
+                pa.ListArray.from_arrays(offsets, pa.array(lines.tokens[keys].view(np.int64), pa.int64())),
+                pa.ListArray.from_arrays(offsets, pa.array(lines.place[keys], pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays([*columns, *lists, tokens], names)
+
+    return docs.select("text", *KEY).mapInArrow(find, _LINES)
+
+
+def _print_counts(tokens: list[bytes]) -> np.ndarray:
+    """How often each byte value is a token's print, for each line."""
+    out = np.zeros((len(tokens), 256), np.uint16)
+    low = np.frombuffer(b"".join(tokens), np.uint8)
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    cells = np.repeat(np.arange(len(tokens)), lengths) * 256 + low
+    out += np.bincount(cells, minlength=out.size).reshape(out.shape).astype(np.uint16)
+    return out
+
+
+def _may_be_alike(x: int, others: np.ndarray, n: np.ndarray, spot: np.ndarray, prints: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """Those of ``others`` that the length, positional and print filters leave to line ``x`` of a token."""
+    m, j = n[others], spot[others]
+    needed = -(-3 * (n[x] + m) // 7)
+    most = np.minimum(spot[x], j) + 1 + np.minimum(n[x] - spot[x] - 1, m - j - 1)
+    others = others[(4 * np.minimum(n[x], m) >= 3 * np.maximum(n[x], m)) & (most >= needed)]
+    if not len(others):
+        return others
+    common = np.minimum(counts[x], counts[others]).sum(1, dtype=np.int64)
+    return others[common >= -(-3 * (n[x] + n[others]) // 7)]
+
+
+def token_partners(places: list[tuple], n: np.ndarray, spot: np.ndarray, prints: list[bytes], blocks: np.ndarray, partners: int | None, open_lines=None):
+    """``(later, earlier, more)``: for each line of a token up to ``partners`` earlier ones (all without a limit),
+    earliest first; ``more`` if others are left. With two blocks, only pairs across them count."""
+    order = sorted(range(len(places)), key=lambda k: places[k])
+    across = len(set(blocks.tolist())) > 1
+    rank = np.array(order)
+    counts = _print_counts(prints)
+    for i, x in enumerate(order):
+        if open_lines is not None and not open_lines[x]:
+            continue
+        found, start, width = [], 0, 256
+        while start < i and (partners is None or len(found) <= partners):
+            others = rank[start : min(i, start + width)]
+            start, width = start + width, min(2 * width, 8192)
+            if across:
+                others = others[blocks[others] != blocks[x]]
+            found += _may_be_alike(x, others, n, spot, prints, counts).tolist()
+        more = partners is not None and len(found) > partners
+        for y in found[:partners]:
+            yield x, y, more
+
+
+def _pairs(entries: DataFrame, block: int, partners: int | None) -> DataFrame:
+    """``(later, earlier, more)`` by ``c1``, from ``(key, c1, first, n, spot, prints[, open])``."""
+    sizes = entries.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    sizes = materialize(sizes.select("key", F.ceil(F.col("_n") / block).cast("bigint").alias("blocks")), "large-tokens")
+    marked = mark_possible(entries, sizes, ["key"])
+    large = marked.where("_maybe").drop("_maybe").join(sizes, "key", "left")
+    rows = marked.where("NOT _maybe").drop("_maybe").withColumn("blocks", F.lit(None).cast("bigint")).unionByName(large)
+    blocks = F.coalesce("blocks", F.lit(1).cast("bigint"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("c1"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    rows = rows.withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other"))
+    has_open = "open" in entries.columns
 
+    def match(batches):
+        for rows, cuts in _token_groups(batches):
+            yield from _matched(rows, cuts, partners, has_open)
 
-def _family_matches(members: DataFrame) -> DataFrame:
-    """``(c1, c2)`` of lines with an earlier match, from ``(g1, g2, i, j, block, c1, c2, _id, _th, line, tokens)``."""
+    names = ["key", "i", "j", "block", "c1", "first.*", "n", "spot", "prints", "open" if has_open else F.lit(True).alias("open")]
+    rows = rows.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(match, "later bigint, earlier bigint, more boolean")
 
-    def match(batches):
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-        for _, group in groupby(rows, key=lambda r: r[:4]):
-            blocks, classes, order, lines = [], [], [], []
-            for _, _, _, _, block, c1, c2, key, th, line, tokens in group:
-                if classes and classes[-1] == (c1, c2):
-                    continue  # a repeated row
-                blocks.append(block), classes.append((c1, c2)), order.append((key, th, line))
-                lines.append(frozenset(np.frombuffer(tokens, "<u8").tolist()))
-            found = [classes[k] for k in later_matches(lines, order, blocks)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["c1", "c2"])
-
-    names = ["g1", "g2", "i", "j", "block", "c1", "c2", *KEY, "line", "tokens"]
-    rows = members.select(*names).repartition("g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j", "c1", "c2")
-    return rows.mapInArrow(match, "c1 bigint, c2 bigint")
-
-
-def all_line_tokens(docs: DataFrame) -> DataFrame:
-    """``(_id, _th, line, tokens)`` of every line with words; the distinct tokens as bytes."""
-    names = [*KEY, "line", "tokens"]
 
-    def find(batches):
-        for data, said in _chunks(batches):
-            line, tokens, _ = line_tokens(data)
-            if not len(line):
-                continue
-            order = np.lexsort((tokens, line))
-            line, tokens = line[order], tokens[order]
-            new = np.ones(len(line), bool)
-            new[1:] = (line[1:] != line[:-1]) | (tokens[1:] != tokens[:-1])
-            line, tokens = line[new], tokens[new]
-            used, begins = np.unique(line, return_index=True)
-            firsts = np.array([s[2] for s in said])
-            at = np.searchsorted(firsts, used, "right") - 1
-            key = np.array([s[:2] for s in said], np.int64).reshape(-1, 2)[at]
-            own = used - firsts[at] + np.array([s[3] for s in said])[at]
-            offsets = (8 * np.append(begins, len(tokens))).astype(np.int32)
-            blobs = pa.BinaryArray.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(tokens.astype("<u8").tobytes())])
-            columns = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in (key[:, 0], key[:, 1], own)]
-            yield pa.RecordBatch.from_arrays([*columns, blobs], names)
-
-    return docs.select("text", *KEY).mapInArrow(find, "_id bigint, _th bigint, line bigint, tokens binary")
-
-
-def _partners_by_token(keys: DataFrame) -> DataFrame:
-    """``(key, run, c1, before)`` of the lines that can have a partner with their token ``key``.
-
-    In the order of size, a token's lines are cut into runs wherever the next line is too long
-    for the one before (length filter). Of a run, each line but the first is tied to the one
-    ``before``.
-    """
-    once = keys.groupBy("key", "c1").agg(F.min("n").alias("n"))
-    order = Window.partitionBy("key").orderBy("n", "c1")
-    cut = F.coalesce(4 * F.lag("n").over(order) < 3 * F.col("n"), F.lit(True)).cast("bigint")
-    runs = once.withColumn("_cut", cut).withColumn("run", F.sum("_cut").over(order))
-    run = Window.partitionBy("key", "run").orderBy("n", "c1")
-    tied = runs.withColumn("before", F.lag("c1").over(run)).withColumn("_after", F.lead("c1").over(run))
-    return tied.where("before IS NOT NULL OR _after IS NOT NULL").select("key", "run", "c1", "before")
-
-
-def _meetings(tied: DataFrame, families: DataFrame, block: int) -> DataFrame:
-    """``(c1, groups array<struct<g1, g2, block, blocks>>)``: where the lines of a class meet others.
-
-    A family of up to ``block`` lines meets as a whole. A larger one is a chain of lines with
-    few tokens in common: its lines meet for each token they are tied by."""
-    sizes = families.groupBy("family").agg(F.count("*").alias("_n"))
-    sized = families.join(sizes, "family")
-    whole = sized.where(F.col("_n") <= block).select("c1", F.col("family").alias("g1"), F.lit(0).cast("bigint").alias("g2"), F.lit(1).cast("bigint").alias("blocks"))
-    split = possible_partners(tied, sized.where(F.col("_n") > block), ["c1"]).join(sized.where(F.col("_n") > block).select("c1"), "c1")
-    fill = split.groupBy("key", "run").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    parts = split.join(fill, ["key", "run"]).select("c1", F.col("key").alias("g1"), F.col("run").alias("g2"), "blocks")
-    every = whole.unionByName(parts).withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks")))
-    return every.groupBy("c1").agg(F.collect_list(F.struct("g1", "g2", "block", "blocks")).alias("groups"))
-
-
-def repeated_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+_SMALL = 32
+
+
+def _token_groups(batches):
+    """``(rows, cuts)``: columns of the rows of whole tokens, and where each token begins and the last ends."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+        if not len(keys):
+            continue
+        ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        last = [c[-1].as_py() for c in kept[-1].columns[:3]] if kept else None
+        if last is not None and last != keys[0].tolist():
+            yield _columns(kept)
+            kept = []
+        if not len(ends):
+            kept.append(batch)
+            continue
+        yield _columns([*kept, batch.slice(0, ends[-1])])
+        kept = [batch.slice(ends[-1])]
+    if kept:
+        yield _columns(kept)
+
+
+def _columns(batches: list[pa.RecordBatch]) -> tuple[dict, np.ndarray]:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    rows = {name: table.column(name).to_pylist() if name == "prints" else table.column(name).to_numpy() for name in table.column_names}
+    keys = np.stack([rows["key"], rows["i"], rows["j"]], 1)
+    return rows, np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
+
+
+def _matched(rows: dict, cuts: np.ndarray, partners: int | None, has_open: bool):
+    """Batches of ``(later, earlier, more)`` of the tokens between the cuts; those of few lines together."""
+    sizes = np.diff(cuts)
+    out = []
+    few = np.flatnonzero((sizes >= 2) & (sizes <= _SMALL))
+    if len(few):
+        out.append(_small_groups(rows, cuts[few], sizes[few], partners, has_open))
+    for g in np.flatnonzero(sizes > _SMALL).tolist():
+        a, b = cuts[g], cuts[g + 1]
+        places = list(zip(*(rows[c][a:b].tolist() for c in (*KEY, "line"))))
+        arrays = rows["n"][a:b], rows["spot"][a:b], rows["prints"][a:b], rows["block"][a:b]
+        found = list(token_partners(places, *arrays, partners, rows["open"][a:b] if has_open else None))
+        if found:
+            x, y, more = (np.array(c) for c in zip(*found))
+            out.append((rows["c1"][a + x], rows["c1"][a + y], more))
+    out = [o for o in out if len(o[0])]
+    if out:
+        columns = [np.concatenate(c) for c in zip(*out)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], ["later", "earlier", "more"])
+
+
+def _small_groups(rows: dict, starts: np.ndarray, sizes: np.ndarray, partners: int | None, has_open: bool):
+    """What ``token_partners`` gives, for many tokens of few lines at once."""
+    whole = np.repeat(np.arange(len(starts)), sizes * sizes)
+    inside = np.arange(len(whole)) - np.repeat(np.cumsum(sizes * sizes) - sizes * sizes, sizes * sizes)
+    x, y = starts[whole] + inside // sizes[whole], starts[whole] + inside % sizes[whole]
+    after = np.zeros(len(x), bool)  # the place of y comes before that of x
+    tied = np.ones(len(x), bool)
+    for c in (*KEY, "line"):
+        after |= tied & (rows[c][y] < rows[c][x])
+        tied &= rows[c][y] == rows[c][x]
+    n, spot = rows["n"], rows["spot"]
+    keep = after & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y]))
+    # of two blocks of a token, only pairs across them count
+    keep &= (rows["i"][x] == rows["j"][x]) | (rows["block"][x] != rows["block"][y])
+    if has_open:
+        keep &= rows["open"][x].astype(bool)
+    needed = -(-3 * (n[x] + n[y]) // 7)
+    keep &= np.minimum(spot[x], spot[y]) + 1 + np.minimum(n[x] - spot[x] - 1, n[y] - spot[y] - 1) >= needed
+    x, y, needed = x[keep], y[keep], needed[keep]
+    used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    fits = np.zeros(len(x), bool)
+    counts = _print_counts([rows["prints"][i] for i in used.tolist()])
+    for start in range(0, len(x), 8192):
+        piece = slice(start, start + 8192)
+        common = np.minimum(counts[at[: len(x)][piece]], counts[at[len(x) :][piece]]).sum(1, dtype=np.int64)
+        fits[piece] = common >= needed[piece]
+    x, y = x[fits], y[fits]
+    order = np.lexsort([rows["line"][y], rows[KEY[1]][y], rows[KEY[0]][y], x])
+    x, y = x[order], y[order]
+    begins = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+    lengths = np.diff(np.append(begins, len(x)))
+    place = np.arange(len(x)) - np.repeat(begins, lengths)
+    limit = len(x) if partners is None else partners
+    chosen = place < limit
+    return rows["c1"][x[chosen]], rows["c1"][y[chosen]], np.repeat(lengths > limit, lengths)[chosen]
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(later, c2, alike, more)`` of each pair, judged on the whole sets."""
+    one = sets.select(F.col("c1").alias("later"), "c2", F.col("tokens").alias("a"))
+    other = sets.select(F.col("c1").alias("earlier"), F.col("tokens").alias("b"))
+    both = pairs.join(one, "later")
+    # one line may be the earlier partner of very many
+    both = salted_join(both, other, ["earlier"], heavy_keys(pairs, "earlier"), "earlier", F.col("later"))
+
+    def judge(batches):
+        for batch in batches:
+            alike = []
+            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                alike.append(4 * common >= 3 * (len(a) + len(b) - common))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(alike, pa.bool_())], ["later", "c2", "more", "alike"])
+
+    return both.select("later", "c2", "more", "a", "b").mapInArrow(judge, "later bigint, c2 bigint, more boolean, alike boolean")
+
+
+def _with_matches(classes: DataFrame, block: int, partners: int) -> DataFrame:
+    """``(c1, c2)`` of the token sets that have an earlier alike one."""
+    sets = classes.where("tokens IS NOT NULL")
+
+    def prints(batches):
+        for batch in batches:
+            out = [np.frombuffer(t, "<u8").astype(np.uint8).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], pa.array(out, pa.binary())], ["c1", "first", "n", "keys", "spots", "prints"])
+
+    place = classes.schema["first"].dataType.simpleString()
+    printed = sets.select("c1", "first", "tokens", "n", "keys", "spots").mapInArrow(
+        prints, f"c1 bigint, first {place}, n bigint, keys array<bigint>, spots array<int>, prints binary"
+    )
+    entries = printed.select("c1", "first", "n", "prints", F.explode(F.arrays_zip("keys", "spots")).alias("_k"))
+    entries = materialize(entries.select("c1", "first", "n", "prints", F.col("_k.keys").alias("key"), F.col("_k.spots").alias("spot")), "line-entries")
+    judge = lambda pairs: _verified(pairs.groupBy("later", "earlier").agg(F.max("more").alias("more")), sets)
+    judged = materialize(judge(_pairs(entries, block, partners)), "line-verdicts")
+    lines = judged.groupBy("later", "c2").agg(F.max("alike").alias("alike"), F.max("more").alias("more"))
+    open_lines = lines.where("more AND NOT alike").select(F.col("later").alias("c1"), F.lit(True).alias("open"))
+    found = judged.where("alike").select(F.col("later").alias("c1"), "c2").distinct()
+    if not open_lines.isEmpty():
+        again = entries.join(open_lines.distinct(), "c1", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        rest = judge(_pairs(again, block, None)).where("alike").select(F.col("later").alias("c1"), "c2")
+        found = found.unionByName(rest).distinct()
+    return found
+
+
+def repeated_lines(docs: DataFrame, block: int = BLOCK, partners: int = PARTNERS) -> DataFrame:
     """``(_id, _th, lines array<bigint>)``: numbers of the lines to remove of each document that has any."""
-    lines = materialize(line_prefixes(docs, rarity_levels(docs)), "lines")
-    first = F.min(F.struct(*KEY, "line")).alias("first")
-    classes = materialize(lines.groupBy("c1", "c2").agg(first, F.count("*").alias("n")), "line-classes")
-
-    keys = lines.where(F.size("keys") > 0).select("c1", "n", F.explode("keys").alias("key"))
-    shared = materialize(keys.groupBy("key").count().where("count > 1").select("key"), "shared-tokens")
-    tied = materialize(_partners_by_token(possible_partners(keys, shared, ["key"]).join(shared, "key")), "tied-lines")
-    families = components(tied.where("before IS NOT NULL").select(F.col("before").alias("a"), F.col("c1").alias("b")).distinct())
-    families = families.select(F.col("node").alias("c1"), F.col("label").alias("family"))
-
-    placed = materialize(_meetings(tied, families, block), "meetings")
-    wanted = possible_partners(classes, placed, ["c1"]).join(placed, "c1").select("c1", "c2", "first.*", "groups")
-    wanted = materialize(wanted, "family-lines")
-    place = [*KEY, "line"]
-    texts = possible_partners(all_line_tokens(docs), wanted, place).join(wanted, place)
-    members = texts.select(*place, "c1", "c2", "tokens", F.explode("groups").alias("_g")).select(*place, "c1", "c2", "tokens", "_g.*")
-    members = members.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    members = members.withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other"))
-    matched = _family_matches(members).distinct()
-
-    again = classes.where("n > 1").select("c1", "c2", "first", F.lit(False).alias("all"))
+    levels = word_levels(docs)
+    lines = materialize(document_lines(docs, levels, shared_slots(docs, levels)), "lines")
+    classes = lines.groupBy("c1", "c2").agg(
+        F.min(F.struct(*KEY, "line")).alias("first"), F.count("*").alias("times"), F.max("n").alias("n"),
+        *[F.max(c).alias(c) for c in ("keys", "spots", "tokens")],
+    )
+    classes = materialize(classes, "line-classes")
+    matched = _with_matches(classes, block, partners)
+
+    again = classes.where("times > 1").select("c1", "c2", "first", F.lit(False).alias("all"))
     marks = matched.withColumn("all", F.lit(True)).withColumn("first", F.lit(None).cast(again.schema["first"].dataType))
     marks = again.unionByName(marks, allowMissingColumns=True).groupBy("c1", "c2").agg(F.max("all").alias("all"), F.max("first").alias("first"))
     marks = materialize(marks, "line-marks")
@@ -325,9 +480,9 @@ def without_lines(text: str, removed: set[int]) -> str:
     return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in removed)
 
 
-def drop_repeated_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, block: int = BLOCK, partners: int = PARTNERS) -> DataFrame:
     """All columns, with the removed lines taken out of ``text`` and ``n_chars`` (if there) brought up to date."""
-    removed = materialize(repeated_lines(keyed(docs), block), "removed-lines")
+    removed = materialize(repeated_lines(keyed(docs), block, partners), "removed-lines")
     marked = mark_possible(wrapped(docs), removed, KEY)
     untouched = marked.where("NOT _maybe").select("_row.*")
     numbers = "_lines"

@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from rarespark.llm.line_dedup import drop_repeated_lines, later_matches
+from rarespark.llm.line_dedup import _matched, drop_repeated_lines, token_partners
 from tests.llm.odd import ROWS, no_documents, odd_documents
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -58,12 +59,52 @@ def test_against_brute_force(spark, block):
     assert {r.doc_id: r.text for r in drop_repeated_lines(df, block).collect()} == brute(rows)
 
 
-def test_join_in_memory_against_brute_force():
+@pytest.mark.parametrize("partners", [None, 1])
+def test_partners_of_a_token_against_brute_force(partners):
+    """No alike earlier line is ruled out; lines that share their first token, in another order than their places."""
     draw = random.Random(4)
-    lines = [frozenset(draw.sample(range(30), draw.randint(1, 14))) for _ in range(200)]
-    order = draw.sample(range(200), 200)
-    want = {i for i in range(200) for j in range(200) if order[j] < order[i] and alike(lines[i], lines[j])}
-    assert later_matches(lines, order, [0] * 200) == want
+    lines = [sorted(draw.sample(range(1, 30), draw.randint(2, 14)) + [0]) for _ in range(200)]
+    places = [(i, 0, 0) for i in draw.sample(range(200), 200)]
+    n, prints = np.array([len(x) for x in lines]), [bytes(x) for x in lines]
+    found = {}
+    for later, earlier, more in token_partners(places, n, np.zeros(200, int), prints, np.zeros(200, int), partners):
+        found.setdefault(later, []).append((earlier, more))
+    for i in range(200):
+        want = sorted((j for j in range(200) if places[j] < places[i] and alike(set(lines[i]), set(lines[j]))), key=lambda j: places[j])
+        got = found.get(i, [])
+        assert [j for j, _ in got] == (want if partners is None else want[:1])
+        assert all(more == (partners is not None and len(want) > 1) for _, more in got)
+
+
+def test_tokens_of_few_lines_together_are_like_each_alone():
+    draw = random.Random(5)
+    rows = {c: [] for c in ("_id", "_th", "line", "c1", "n", "spot", "prints", "block", "open")}
+    cuts = [0]
+    for _ in range(60):
+        for _ in range(draw.choice([1, 2, 3, 9, 30])):
+            tokens = draw.sample(range(1, 12), draw.randint(2, 10))
+            values = (draw.randint(0, 5), draw.randint(0, 1), len(rows["_id"]), draw.getrandbits(40), len(tokens), draw.randint(0, 1), bytes(tokens), 0, draw.random() < 0.5)
+            for c, v in zip(rows, values):
+                rows[c].append(v)
+        cuts.append(len(rows["_id"]))
+    rows = {c: v if c == "prints" else np.array(v) for c, v in rows.items()}
+    rows["i"] = rows["j"] = rows["block"]
+    for partners in (None, 1, 3):
+        for has_open in (False, True):
+            want = []
+            for a, b in zip(cuts, cuts[1:]):
+                places = list(zip(*(rows[c][a:b].tolist() for c in ("_id", "_th", "line"))))
+                arrays = rows["n"][a:b], rows["spot"][a:b], rows["prints"][a:b], rows["block"][a:b]
+                for x, y, more in token_partners(places, *arrays, partners, rows["open"][a:b] if has_open else None):
+                    want.append((rows["c1"][a + x], rows["c1"][a + y], more))
+            got = [tuple(r.values()) for batch in _matched(rows, np.array(cuts), partners, has_open) for r in batch.to_pylist()]
+            assert sorted(got) == sorted(want)
+
+
+def test_one_partner_a_token(spark):
+    rows = lines_with_edits(random.Random(6))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in drop_repeated_lines(df, 50, 1).collect()} == brute(rows)
 
 
 def test_long_text_in_chunks(spark, monkeypatch):
