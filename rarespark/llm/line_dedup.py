@@ -12,7 +12,7 @@ shingles). Alike lines of ``n`` tokens share at least two of their first ``n - c
    their tokens. Length and positional filters and the prints (whose common
    part is never smaller than that of the tokens) rule out nearly all pairs. Each line passes on up to
    ``PARTNERS`` earlier partners, in effect alike ones, so a family of copies makes no pairs of all with all.
-3. These pairs are verified on the whole sets. Lines none of whose partners held, and which had more, look at
+3. One such pair of each line is verified on the whole sets. Lines whose pair does not hold, and which had more, look at
    all of theirs. Tokens of more than ``block`` lines meet in pairs of blocks.
 
 A line is removed if an earlier line (by ``doc_id``, then place) has the same tokens or is
@@ -42,7 +42,7 @@ SLOTS = 1 << 20
 _BLOBS = 64
 SLOT_BITS = 27
 BLOCK = 32768
-PARTNERS = 3
+PARTNERS = 1
 LEAST_TOKENS = 3
 _CHUNK = 1 << 19
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -231,8 +231,14 @@ def document_lines(docs: DataFrame, levels: np.ndarray, bits: np.ndarray) -> Dat
             slot = (lines.tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
             marked = lines.prefix & ((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
             count = np.bincount(lines.own[marked], minlength=used)
+            firsts = np.array([s[2] for s in said])
+            at = np.searchsorted(firsts, lines.used, "right") - 1
+            key = np.array([s[:2] for s in said], np.int64).reshape(-1, 2)[at]
+            own = lines.used - firsts[at] + np.array([s[3] for s in said])[at]
+            # the earliest of equal lines
+            order = np.lexsort((own, key[:, 1], key[:, 0], lines.c1))
             fresh = np.zeros(used, bool)
-            fresh[np.unique(lines.c1, return_index=True)[1]] = True
+            fresh[order[np.append(True, lines.c1[order][1:] != lines.c1[order][:-1])]] = True
             wanted = fresh & (count >= 2)
             keys = marked & wanted[lines.own]
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(wanted, count, 0))]), pa.int32())
@@ -240,10 +246,6 @@ def document_lines(docs: DataFrame, levels: np.ndarray, bits: np.ndarray) -> Dat
             whole = lines.tokens[wanted[lines.own]].astype("<u8").tobytes()
             none = np.packbits(wanted, bitorder="little").tobytes()
             tokens = pa.BinaryArray.from_buffers(pa.binary(), used, [pa.py_buffer(none), pa.py_buffer(ends.tobytes()), pa.py_buffer(whole)])
-            firsts = np.array([s[2] for s in said])
-            at = np.searchsorted(firsts, lines.used, "right") - 1
-            key = np.array([s[:2] for s in said], np.int64).reshape(-1, 2)[at]
-            own = lines.used - firsts[at] + np.array([s[3] for s in said])[at]
             columns = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in (key[:, 0], key[:, 1], own, lines.c1.view(np.int64), lines.c2.view(np.int64), lines.n)]
             lists = [
                 pa.ListArray.from_arrays(offsets, pa.array(lines.tokens[keys].view(np.int64), pa.int64())),
@@ -298,10 +300,8 @@ def token_partners(places: list[tuple], n: np.ndarray, spot: np.ndarray, prints:
             yield x, y, more
 
 
-def _pairs(entries: DataFrame, block: int, partners: int | None) -> DataFrame:
-    """``(later, earlier, more)`` by ``c1``, from ``(key, c1, first, n, spot, prints[, open])``."""
-    sizes = entries.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > block)
-    sizes = materialize(sizes.select("key", F.ceil(F.col("_n") / block).cast("bigint").alias("blocks")), "large-tokens")
+def _pairs(entries: DataFrame, sizes: DataFrame, partners: int | None) -> DataFrame:
+    """``(later, earlier, more)`` by ``c1``, from ``(key, c1, first, n, spot, prints[, open])`` and the blocks of large tokens."""
     marked = mark_possible(entries, sizes, ["key"])
     large = marked.where("_maybe").drop("_maybe").join(sizes, "key", "left")
     rows = marked.where("NOT _maybe").drop("_maybe").withColumn("blocks", F.lit(None).cast("bigint")).unionByName(large)
@@ -428,30 +428,33 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("later", "c2", "more", "a", "b").mapInArrow(judge, "later bigint, c2 bigint, more boolean, alike boolean")
 
 
-def _with_matches(classes: DataFrame, block: int, partners: int) -> DataFrame:
+def _with_matches(sets: DataFrame, block: int, partners: int) -> DataFrame:
     """``(c1, c2)`` of the token sets that have an earlier alike one."""
-    sets = classes.where("tokens IS NOT NULL")
 
     def prints(batches):
         for batch in batches:
             out = [np.frombuffer(t, "<u8").astype(np.uint8).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], pa.array(out, pa.binary())], ["c1", "first", "n", "keys", "spots", "prints"])
 
-    place = classes.schema["first"].dataType.simpleString()
+    place = sets.schema["first"].dataType.simpleString()
     printed = sets.select("c1", "first", "tokens", "n", "keys", "spots").mapInArrow(
         prints, f"c1 bigint, first {place}, n bigint, keys array<bigint>, spots array<int>, prints binary"
     )
     entries = printed.select("c1", "first", "n", "prints", F.explode(F.arrays_zip("keys", "spots")).alias("_k"))
-    entries = materialize(entries.select("c1", "first", "n", "prints", F.col("_k.keys").alias("key"), F.col("_k.spots").alias("spot")), "line-entries")
-    judge = lambda pairs: _verified(pairs.groupBy("later", "earlier").agg(F.max("more").alias("more")), sets)
-    judged = materialize(judge(_pairs(entries, block, partners)), "line-verdicts")
-    lines = judged.groupBy("later", "c2").agg(F.max("alike").alias("alike"), F.max("more").alias("more"))
-    open_lines = lines.where("more AND NOT alike").select(F.col("later").alias("c1"), F.lit(True).alias("open"))
-    found = judged.where("alike").select(F.col("later").alias("c1"), "c2").distinct()
+    entries = entries.select("c1", "first", "n", "prints", F.col("_k.keys").alias("key"), F.col("_k.spots").alias("spot"))
+    sizes = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    sizes = materialize(sizes.select("key", F.ceil(F.col("_n") / block).cast("bigint").alias("blocks")), "large-tokens")
+
+    # one partner of each line first: what passes the filters nearly always is alike
+    pairs = _pairs(entries, sizes, partners).groupBy("later").agg(F.min("earlier").alias("earlier"), F.max(F.col("more")).alias("more"), F.max("earlier").alias("_most"))
+    pairs = pairs.select("later", "earlier", (F.col("more") | (F.col("earlier") != F.col("_most"))).alias("more"))
+    judged = materialize(_verified(pairs, sets), "line-verdicts")
+    open_lines = judged.where("more AND NOT alike").select(F.col("later").alias("c1"), F.lit(True).alias("open"))
+    found = judged.where("alike").select(F.col("later").alias("c1"), "c2")
     if not open_lines.isEmpty():
         again = entries.join(open_lines.distinct(), "c1", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        rest = judge(_pairs(again, block, None)).where("alike").select(F.col("later").alias("c1"), "c2")
-        found = found.unionByName(rest).distinct()
+        pairs = _pairs(again, sizes, None).groupBy("later", "earlier").agg(F.max("more").alias("more"))
+        found = found.unionByName(_verified(pairs, sets).where("alike").select(F.col("later").alias("c1"), "c2")).distinct()
     return found
 
 
@@ -459,14 +462,11 @@ def repeated_lines(docs: DataFrame, block: int = BLOCK, partners: int = PARTNERS
     """``(_id, _th, lines array<bigint>)``: numbers of the lines to remove of each document that has any."""
     levels = word_levels(docs)
     lines = materialize(document_lines(docs, levels, shared_slots(docs, levels)), "lines")
-    classes = lines.groupBy("c1", "c2").agg(
-        F.min(F.struct(*KEY, "line")).alias("first"), F.count("*").alias("times"), F.max("n").alias("n"),
-        *[F.max(c).alias(c) for c in ("keys", "spots", "tokens")],
-    )
-    classes = materialize(classes, "line-classes")
-    matched = _with_matches(classes, block, partners)
+    first = F.min(F.struct(*KEY, "line")).alias("first")
+    sets = lines.where("tokens IS NOT NULL").groupBy("c1", "c2").agg(first, *[F.max(c).alias(c) for c in ("n", "keys", "spots", "tokens")])
+    matched = _with_matches(materialize(sets, "line-sets"), block, partners)
 
-    again = classes.where("times > 1").select("c1", "c2", "first", F.lit(False).alias("all"))
+    again = lines.groupBy("c1", "c2").agg(first, F.count("*").alias("times")).where("times > 1").select("c1", "c2", "first", F.lit(False).alias("all"))
     marks = matched.withColumn("all", F.lit(True)).withColumn("first", F.lit(None).cast(again.schema["first"].dataType))
     marks = again.unionByName(marks, allowMissingColumns=True).groupBy("c1", "c2").agg(F.max("all").alias("all"), F.max("first").alias("first"))
     marks = materialize(marks, "line-marks")
