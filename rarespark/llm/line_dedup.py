@@ -4,11 +4,11 @@ A line's tokens are its distinct five-word shingles (its word sequence, if it ha
 words); lines are alike from a Jaccard similarity of 0.75 on. Tokens are put in
 one global order, the rare ones first: a shingle is the rarer the rarer its words are, by
 counts of words in ``SLOTS`` hashed counters (4 MB, whatever the data; far fewer words are distinct than
-shingles). Alike lines of ``n`` tokens share at least two of their first ``n - ceil(0.75 n) + 2``:
+shingles). Alike lines of ``n`` tokens share at least ``k`` of their first ``n - ceil(0.75 n) + k``:
 
-1. Prefix: a bitmap of ``SLOT_BITS`` slots (16 MB) marks the prefix tokens that lines with other
-   token sets have too. Lines with fewer than two marked tokens have no match but equal lines.
-2. The others meet by marked token, with their size, the token's position and a print of a byte for each of
+1. Prefix: a bitmap of ``SLOT_BITS`` slots (16 MB) marks the prefix tokens (``k = SHARED``) that lines with other
+   token sets have too. Lines with fewer than ``k`` marked tokens have no match but equal lines.
+2. The others meet by marked token of the shortest prefix (``k = 1``), with their size, the token's position and a print of a byte for each of
    their tokens. Length and positional filters and the prints (whose common
    part is never smaller than that of the tokens) rule out nearly all pairs. Each line passes on up to
    ``PARTNERS`` earlier partners, in effect alike ones, so a family of copies makes no pairs of all with all.
@@ -44,14 +44,20 @@ SLOT_BITS = 27
 BLOCK = 32768
 PARTNERS = 1
 LEAST_TOKENS = 3
+SHARED = 4
 _CHUNK = 1 << 19
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _HELD = 1 << 21
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    """So many first tokens that alike lines share two of them."""
-    return np.minimum(n, n - -(-3 * n // 4) + 2)
+def shared_tokens(n: np.ndarray) -> np.ndarray:
+    """How many tokens of their prefixes alike lines have to share."""
+    return np.minimum(SHARED, -(-3 * n // 4))
+
+
+def prefix_length(n: np.ndarray, shared) -> np.ndarray:
+    """So many first tokens that alike lines share ``shared`` of them."""
+    return n - -(-3 * n // 4) + shared
 
 
 def line_tokens(data: bytes, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -159,8 +165,10 @@ class _Lines:
             self.c2 = np.add.reduceat(mix64(self.tokens ^ _SECOND), self.begins)
         place = np.arange(len(self.tokens)) - self.begins[self.own]
         # shorter lines are alike to equal ones only
-        size = np.where(self.n >= LEAST_TOKENS, prefix_length(self.n), 0)
-        self.place, self.prefix = place, place < size[self.own]
+        long = self.n >= LEAST_TOKENS
+        self.place, self.shared = place, shared_tokens(self.n)
+        self.prefix = place < np.where(long, prefix_length(self.n, self.shared), 0)[self.own]
+        self.first = place < np.where(long, prefix_length(self.n, 1), 0)[self.own]
 
 
 def shared_slots(docs: DataFrame, levels: np.ndarray) -> np.ndarray:
@@ -212,14 +220,14 @@ def shared_slots(docs: DataFrame, levels: np.ndarray) -> np.ndarray:
     return bits.ravel()
 
 
-_LINES = "_id bigint, _th bigint, line bigint, c1 bigint, c2 bigint, n bigint, keys array<bigint>, spots array<int>, tokens binary"
+_LINES = "_id bigint, _th bigint, line bigint, c1 bigint, c2 bigint, n bigint, keys array<bigint>, spots array<int>, prints binary, tokens binary"
 
 
 def document_lines(docs: DataFrame, levels: np.ndarray, bits: np.ndarray) -> DataFrame:
-    """Every line with words: the hashes of its token set and its size; and for lines with two marked prefix tokens
-    these, their positions and the whole set as bytes (once for equal lines of a chunk)."""
+    """Every line with words: the hashes of its token set and its size; and for lines with enough marked prefix tokens
+    those of the shortest prefix, their positions, the prints and the whole set as bytes (once for equal lines of a chunk)."""
     shared = docs.sparkSession.sparkContext.broadcast((levels, bits))
-    names = [*KEY, "line", "c1", "c2", "n", "keys", "spots", "tokens"]
+    names = [*KEY, "line", "c1", "c2", "n", "keys", "spots", "prints", "tokens"]
 
     def find(batches):
         levels, bits = shared.value
@@ -231,6 +239,8 @@ def document_lines(docs: DataFrame, levels: np.ndarray, bits: np.ndarray) -> Dat
             slot = (lines.tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
             marked = lines.prefix & ((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
             count = np.bincount(lines.own[marked], minlength=used)
+            marked &= lines.first
+            early = np.bincount(lines.own[marked], minlength=used)
             firsts = np.array([s[2] for s in said])
             at = np.searchsorted(firsts, lines.used, "right") - 1
             key = np.array([s[:2] for s in said], np.int64).reshape(-1, 2)[at]
@@ -239,19 +249,22 @@ def document_lines(docs: DataFrame, levels: np.ndarray, bits: np.ndarray) -> Dat
             order = np.lexsort((own, key[:, 1], key[:, 0], lines.c1))
             fresh = np.zeros(used, bool)
             fresh[order[np.append(True, lines.c1[order][1:] != lines.c1[order][:-1])]] = True
-            wanted = fresh & (count >= 2)
+            wanted = fresh & (count >= lines.shared) & (early > 0)
             keys = marked & wanted[lines.own]
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(wanted, count, 0))]), pa.int32())
-            ends = np.concatenate([[0], np.cumsum(np.where(wanted, 8 * lines.n, 0))]).astype(np.int32)
-            whole = lines.tokens[wanted[lines.own]].astype("<u8").tobytes()
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(wanted, early, 0))]), pa.int32())
+            ends = np.concatenate([[0], np.cumsum(np.where(wanted, lines.n, 0))]).astype(np.int32)
+            whole = lines.tokens[wanted[lines.own]]
             none = np.packbits(wanted, bitorder="little").tobytes()
-            tokens = pa.BinaryArray.from_buffers(pa.binary(), used, [pa.py_buffer(none), pa.py_buffer(ends.tobytes()), pa.py_buffer(whole)])
+            blobs = [
+                pa.BinaryArray.from_buffers(pa.binary(), used, [pa.py_buffer(none), pa.py_buffer((ends * wide).tobytes()), pa.py_buffer(data.tobytes())])
+                for wide, data in ((1, whole.astype(np.uint8)), (8, whole.astype("<u8")))
+            ]
             columns = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in (key[:, 0], key[:, 1], own, lines.c1.view(np.int64), lines.c2.view(np.int64), lines.n)]
             lists = [
                 pa.ListArray.from_arrays(offsets, pa.array(lines.tokens[keys].view(np.int64), pa.int64())),
                 pa.ListArray.from_arrays(offsets, pa.array(lines.place[keys], pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays([*columns, *lists, tokens], names)
+            yield pa.RecordBatch.from_arrays([*columns, *lists, *blobs], names)
 
     return docs.select("text", *KEY).mapInArrow(find, _LINES)
 
@@ -408,10 +421,17 @@ def _small_groups(rows: dict, starts: np.ndarray, sizes: np.ndarray, partners: i
     return rows["c1"][x[chosen]], rows["c1"][y[chosen]], np.repeat(lengths > limit, lengths)[chosen]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(later, c2, alike, more)`` of each pair, judged on the whole sets."""
-    one = sets.select(F.col("c1").alias("later"), "c2", F.col("tokens").alias("a"))
-    other = sets.select(F.col("c1").alias("earlier"), F.col("tokens").alias("b"))
+def _verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(later, c2, alike, more)`` of each pair, judged on the whole sets, which are fetched for lines in pairs only."""
+    both = pairs.select(F.explode(F.array("later", "earlier")).alias("c1")).distinct()
+    wanted = materialize(both.join(sets.select("c1", "c2", "first.*"), "c1"), "wanted-lines")
+    place = [*KEY, "line"]
+    stored = possible_partners(lines.where("tokens IS NOT NULL").select(*place, "tokens"), wanted, place)
+    # repeated rows of a document repeat its lines
+    whole = stored.join(wanted, place).groupBy("c1", "c2").agg(F.max("tokens").alias("tokens"))
+    whole = materialize(whole, "wanted-sets")
+    one = whole.select(F.col("c1").alias("later"), "c2", F.col("tokens").alias("a"))
+    other = whole.select(F.col("c1").alias("earlier"), F.col("tokens").alias("b"))
     both = pairs.join(one, "later")
     # one line may be the earlier partner of very many
     both = salted_join(both, other, ["earlier"], heavy_keys(pairs, "earlier"), "earlier", F.col("later"))
@@ -428,33 +448,23 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("later", "c2", "more", "a", "b").mapInArrow(judge, "later bigint, c2 bigint, more boolean, alike boolean")
 
 
-def _with_matches(sets: DataFrame, block: int, partners: int) -> DataFrame:
+def _with_matches(sets: DataFrame, lines: DataFrame, block: int, partners: int) -> DataFrame:
     """``(c1, c2)`` of the token sets that have an earlier alike one."""
-
-    def prints(batches):
-        for batch in batches:
-            out = [np.frombuffer(t, "<u8").astype(np.uint8).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], pa.array(out, pa.binary())], ["c1", "first", "n", "keys", "spots", "prints"])
-
-    place = sets.schema["first"].dataType.simpleString()
-    printed = sets.select("c1", "first", "tokens", "n", "keys", "spots").mapInArrow(
-        prints, f"c1 bigint, first {place}, n bigint, keys array<bigint>, spots array<int>, prints binary"
-    )
-    entries = printed.select("c1", "first", "n", "prints", F.explode(F.arrays_zip("keys", "spots")).alias("_k"))
+    entries = sets.select("c1", "first", "n", "prints", F.explode(F.arrays_zip("keys", "spots")).alias("_k"))
     entries = entries.select("c1", "first", "n", "prints", F.col("_k.keys").alias("key"), F.col("_k.spots").alias("spot"))
     sizes = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > block)
     sizes = materialize(sizes.select("key", F.ceil(F.col("_n") / block).cast("bigint").alias("blocks")), "large-tokens")
 
     # one partner of each line first: what passes the filters nearly always is alike
     pairs = _pairs(entries, sizes, partners).groupBy("later").agg(F.min("earlier").alias("earlier"), F.max(F.col("more")).alias("more"), F.max("earlier").alias("_most"))
-    pairs = pairs.select("later", "earlier", (F.col("more") | (F.col("earlier") != F.col("_most"))).alias("more"))
-    judged = materialize(_verified(pairs, sets), "line-verdicts")
+    pairs = materialize(pairs.select("later", "earlier", (F.col("more") | (F.col("earlier") != F.col("_most"))).alias("more")), "line-pairs")
+    judged = materialize(_verified(pairs, sets, lines), "line-verdicts")
     open_lines = judged.where("more AND NOT alike").select(F.col("later").alias("c1"), F.lit(True).alias("open"))
     found = judged.where("alike").select(F.col("later").alias("c1"), "c2")
     if not open_lines.isEmpty():
         again = entries.join(open_lines.distinct(), "c1", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        pairs = _pairs(again, sizes, None).groupBy("later", "earlier").agg(F.max("more").alias("more"))
-        found = found.unionByName(_verified(pairs, sets).where("alike").select(F.col("later").alias("c1"), "c2")).distinct()
+        pairs = materialize(_pairs(again, sizes, None).groupBy("later", "earlier").agg(F.max("more").alias("more")), "line-pairs")
+        found = found.unionByName(_verified(pairs, sets, lines).where("alike").select(F.col("later").alias("c1"), "c2")).distinct()
     return found
 
 
@@ -463,8 +473,8 @@ def repeated_lines(docs: DataFrame, block: int = BLOCK, partners: int = PARTNERS
     levels = word_levels(docs)
     lines = materialize(document_lines(docs, levels, shared_slots(docs, levels)), "lines")
     first = F.min(F.struct(*KEY, "line")).alias("first")
-    sets = lines.where("tokens IS NOT NULL").groupBy("c1", "c2").agg(first, *[F.max(c).alias(c) for c in ("n", "keys", "spots", "tokens")])
-    matched = _with_matches(materialize(sets, "line-sets"), block, partners)
+    sets = lines.where("tokens IS NOT NULL").groupBy("c1", "c2").agg(first, *[F.max(c).alias(c) for c in ("n", "keys", "spots", "prints")])
+    matched = _with_matches(materialize(sets, "line-sets"), lines, block, partners)
 
     again = lines.groupBy("c1", "c2").agg(first, F.count("*").alias("times")).where("times > 1").select("c1", "c2", "first", F.lit(False).alias("all"))
     marks = matched.withColumn("all", F.lit(True)).withColumn("first", F.lit(None).cast(again.schema["first"].dataType))
