@@ -6,7 +6,7 @@ one global order, the rare ones first: a shingle is the rarer the rarer its word
 counts of words in ``SLOTS`` hashed counters (4 MB, whatever the data; far fewer words are distinct than
 shingles). Alike lines of ``n`` tokens share at least ``k`` of their first ``n - ceil(0.75 n) + k``:
 
-1. Prefix: a bitmap of ``SLOT_BITS`` slots (16 MB) marks the prefix tokens (``k = SHARED``) that lines with other
+1. Prefix: a bitmap of ``SLOT_BITS`` slots (64 MB) marks the prefix tokens (``k = SHARED``) that lines with other
    token sets have too. Lines with fewer than ``k`` marked tokens have no match but equal lines.
 2. The others meet by marked token of the shortest prefix (``k = 1``), with their size, the token's position and a print of a byte for each of
    their tokens. Length and positional filters and the prints (whose common
@@ -40,7 +40,7 @@ from rarespark.session import materialize
 
 SLOTS = 1 << 20
 _BLOBS = 64
-SLOT_BITS = 27
+SLOT_BITS, SLOT_BLOBS = 29, 256
 BLOCK = 32768
 PARTNERS = 1
 LEAST_TOKENS = 3
@@ -174,16 +174,16 @@ class _Lines:
 def shared_slots(docs: DataFrame, levels: np.ndarray) -> np.ndarray:
     """Bitmap of the slots that prefix tokens of lines with different token sets fall into."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    width = (1 << SLOT_BITS) // _BLOBS
+    width = (1 << SLOT_BITS) // SLOT_BLOBS
 
     def find(batches):
         held, size = [], 0
 
         def blobs():
             every = np.unique(np.concatenate(held)) if held else np.empty(0, np.uint64)
-            cuts = np.searchsorted(every, np.arange(1, _BLOBS, dtype=np.uint64) * np.uint64(width) << np.uint64(32))
+            cuts = np.searchsorted(every, np.arange(1, SLOT_BLOBS, dtype=np.uint64) * np.uint64(width) << np.uint64(32))
             parts = [p.astype("<u8").tobytes() for p in np.split(every, cuts)]
-            return pa.RecordBatch.from_arrays([pa.array(range(_BLOBS), pa.int64()), pa.array(parts, pa.binary())], ["blob", "slots"])
+            return pa.RecordBatch.from_arrays([pa.array(range(SLOT_BLOBS), pa.int64()), pa.array(parts, pa.binary())], ["blob", "slots"])
 
         for data, _ in _chunks(batches):
             lines = _Lines(data, shared.value)
@@ -198,24 +198,26 @@ def shared_slots(docs: DataFrame, levels: np.ndarray) -> np.ndarray:
 
     def mark(batches):
         first: dict[int, np.ndarray] = {}
+        taken: dict[int, np.ndarray] = {}
         marks: dict[int, np.ndarray] = {}
         for batch in batches:
             for blob, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if blob not in first:
-                    first[blob], marks[blob] = np.full(width, -1, np.int64), np.zeros(width, bool)
+                    first[blob], taken[blob], marks[blob] = np.zeros(width, np.uint32), np.zeros(width, bool), np.zeros(width, bool)
                 both = np.frombuffer(data, "<u8")
-                slot, line = (both >> np.uint64(32)).astype(np.int64) - blob * width, (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                slot, line = (both >> np.uint64(32)).astype(np.int64) - blob * width, (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 known = first[blob]
-                fresh = known[slot] < 0
+                fresh = ~taken[blob][slot]
                 known[slot[fresh]] = line[fresh]
+                taken[blob][slot] = True
                 marks[blob][slot[known[slot] != line]] = True
         for blob, found in marks.items():
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.int64()), pa.array([np.packbits(found).tobytes()], pa.binary())], ["blob", "slots"])
 
     schema = "blob bigint, slots binary"
-    found = docs.select("text", *KEY).mapInArrow(find, schema).repartition(_BLOBS, "blob").mapInArrow(mark, schema)
-    bits = np.zeros((_BLOBS, width // 8), np.uint8)
-    for row in found.collect():  # _BLOBS rows, SLOT_BITS bits in all
+    found = docs.select("text", *KEY).mapInArrow(find, schema).repartition(SLOT_BLOBS, "blob").mapInArrow(mark, schema)
+    bits = np.zeros((SLOT_BLOBS, width // 8), np.uint8)
+    for row in found.collect():  # SLOT_BLOBS rows, SLOT_BITS bits in all
         bits[row.blob] = np.frombuffer(row.slots, np.uint8)
     return bits.ravel()
 
