@@ -464,7 +464,11 @@ def _with_matches(sets: DataFrame, lines: DataFrame, block: int, partners: int)
     open_lines = judged.where("more AND NOT alike").select(F.col("later").alias("c1"), F.lit(True).alias("open"))
     found = judged.where("alike").select(F.col("later").alias("c1"), "c2")
     if not open_lines.isEmpty():
-        again = entries.join(open_lines.distinct(), "c1", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        # only tokens of these lines matter: few of all entries
+        open_lines = materialize(open_lines.distinct(), "open-lines")
+        open_keys = possible_partners(sets.select("c1", "keys"), open_lines, ["c1"]).join(open_lines, "c1").select(F.explode("keys").alias("key"))
+        again = possible_partners(entries, open_keys, ["key"])
+        again = again.join(open_lines, "c1", "left").withColumn("open", F.coalesce("open", F.lit(False)))
         pairs = materialize(_pairs(again, sizes, None).groupBy("later", "earlier").agg(F.max("more").alias("more")), "line-pairs")
         found = found.unionByName(_verified(pairs, sets, lines).where("alike").select(F.col("later").alias("c1"), "c2")).distinct()
     return found

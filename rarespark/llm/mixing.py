@@ -21,7 +21,7 @@ behind. A hashed start per source spreads those of few documents. All this is ar
 on the row, so there may be any number of sources, and none of them is collected or broadcast.
 
 Null sources are a source of their own, null texts count as empty, rows of
-zero length are placed like others, repeated rows are placed each; an empty table
+zero length are placed like others, repeated rows are placed each (numbered together); an empty table
 gives no rows.
 """
 
@@ -33,7 +33,7 @@ from math import ceil, floor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rarespark.llm.rows import KEY, key_columns, parts_for, wrapped
+from rarespark.llm.rows import KEY, key_columns, parts_for
 
 BLOCK_CHARS = 1 << 18
 UNITS = 10_000
@@ -182,6 +182,12 @@ def mix_slots(docs: DataFrame, weights: dict[str, float] | None = None, block_ch
 def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """All columns of the placed documents, a row for each epoch, sorted by slot: written
     to files, the parts in order are the mix, and each prefix of them has the target weights."""
-    slots = mix_slots(docs, weights, block_chars).groupBy(*KEY).agg(F.collect_set(F.struct("slot", "epoch")).alias("_slots"))
-    placed = wrapped(docs).join(slots, KEY).withColumn("_slot", F.explode("_slots.slot")).drop("_slots")
+    source = F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("_source")
+    one = [*KEY, "_source"]
+    # repeated rows are numbered, and in each epoch the n-th takes the n-th of their slots
+    number = lambda *by: F.row_number().over(Window.partitionBy(*one, *by).orderBy("slot" if by else F.lit(0)))
+    slots = mix_slots(docs, weights, block_chars).withColumnRenamed("source", "_source").withColumn("_copy", number("epoch"))
+    slots = slots.groupBy(*one, "_copy").agg(F.collect_list("slot").alias("_slots"))
+    rows = docs.select(F.struct("*").alias("_row"), *key_columns(), source).withColumn("_copy", number())
+    placed = rows.join(slots, [*one, "_copy"]).withColumn("_slot", F.explode("_slots")).drop("_slots")
     return placed.repartitionByRange("_slot").sortWithinPartitions("_slot", *KEY).select("_row.*")

@@ -122,3 +122,16 @@ def test_odd_rows(spark):
     after = {(r.doc_id, r.t): r["count"] for r in count(mixed)}
     assert before.keys() == after.keys() and all(after[k] >= before[k] for k in before)
     assert mix_documents(no_documents(spark)).count() == 0 and mix_slots(no_documents(spark)).count() == 0
+    by_text = lambda d: {tuple(r) for r in d.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).count().collect()}
+    assert by_text(mixed) == {tuple(r) for r in mix_slots(df).groupBy("doc_id", "_th").count().collect()}
+
+
+@pytest.mark.parametrize("block_chars", [1 << 18, 40])
+def test_repeated_rows_are_placed_each(spark, block_chars):
+    """Six equal rows, also over the borders of blocks; rows of one id and text in two sources keep their own slots."""
+    rows = [(1, "same text here", "a")] * 6 + [(1, "same text here", "b")] * 2 + [(i, "other text now", "ab"[i % 2]) for i in range(2, 20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mixed = Counter((r.doc_id, r.source) for r in mix_documents(df, {"a": 0.6, "b": 0.4}, block_chars).collect())
+    assert mixed == Counter((r.doc_id, r.source) for r in mix_slots(df, {"a": 0.6, "b": 0.4}, block_chars).collect())
+    first = Counter((r.doc_id, r.source) for r in mix_slots(df, {"a": 0.6, "b": 0.4}, block_chars).where("epoch = 0").collect())
+    assert first == Counter((d, s) for d, _, s in rows)
