@@ -282,6 +282,8 @@ def statements() -> dict[str, str]:
     )
     sql["ap_bars"] = f"WITH {_AP_TABLE} SELECT position, label, {ap}, scenario LIKE '%\\_tuned' ESCAPE '\\' AS tuned FROM dim JOIN ap USING (scenario)"
     sql["curve_scenarios"] = f"WITH {_SCORES} SELECT DISTINCT scenario FROM scores WHERE ends_with(scenario, '_tuned')"
+    sql["drawn_pr_curves"] = f"SELECT * FROM ({sql['pr_curve']}) WHERE ends_with(scenario, '_tuned')"
+    sql["drawn_roc_curves_untuned"] = f"SELECT * FROM ({sql['roc_curve']}) WHERE NOT ends_with(scenario, '_tuned')"
     sql["best_threshold_table"] = (
         f"WITH {_AP_TABLE}{_sweep('scores', True)} SELECT scenario, {_METRIC_COLUMNS}, selected FROM marked "
         "WHERE scenario = (SELECT scenario FROM dim JOIN ap USING (scenario) ORDER BY average_precision DESC, position LIMIT 1)"

@@ -298,6 +298,15 @@ def curve_scenarios(spark, root):
     return reports.curve_scenarios(inputs.scores(spark, root))
 
 
+def drawn_pr_curves(spark, root):
+    return reports.curves(inputs.scores(spark, root))[0]
+
+
+def drawn_roc_curves_untuned(spark, root):
+    """Without tuned scenarios the default ones are drawn."""
+    return reports.curves(inputs.scores(spark, root).where(~F.col("scenario").endswith("_tuned")))[1]
+
+
 def best_threshold_table(spark, root):
     rows = inputs.scores(spark, root)
     sweep = metrics.mark_selected(metrics.threshold_sweep(rows, BY, rounded=True), BY)
@@ -376,7 +385,7 @@ _REGISTERED = [
     freq_table, num_stats, preprocessing_summary, encode_dense, encode_mixed, saved_preprocessor, coerce_numeric, finite_check, class_weight,
     class_weight_train, synth_counts, average_precision, roc_auc, metrics_at_threshold, decisions, threshold_sweep,
     threshold_sweep_rounded, best_threshold, pr_curve, roc_curve, roc_curve_full, knn, smote_vectors, smote_features,
-    augmented_rate, scores_wide, scenario_metrics, scenario_deltas, best_scenario, ap_bars, curve_scenarios,
+    augmented_rate, scores_wide, scenario_metrics, scenario_deltas, best_scenario, ap_bars, curve_scenarios, drawn_pr_curves, drawn_roc_curves_untuned,
     best_threshold_table, sensitivity_pivot, sensitivity_top, best_cell, gbt_scores, gbt_staged_ap, ae_oversample,
     ae_encode, ae_encode_fixed, ae_decode_fixed, trial_draws, search_trials, sensitivity_grid, experiment_metrics, experiment_document,
 ]
