@@ -3,7 +3,7 @@
 A line's tokens are its distinct five-word shingles (its word sequence, if it has fewer
 words); lines are alike from a Jaccard similarity of 0.75 on. Tokens are put in
 one global order, the rare ones first: a shingle is the rarer the rarer its words are, by
-counts of words in ``SLOTS`` hashed counters (4 MB, whatever the data; far fewer words are distinct than
+counts of words in ``SLOTS`` hashed counters (8 MB, whatever the data; far fewer words are distinct than
 shingles). Alike lines of ``n`` tokens share at least ``k`` of their first ``n - ceil(0.75 n) + k``:
 
 1. Prefix: a bitmap of ``SLOT_BITS`` slots (64 MB) marks the prefix tokens (``k = SHARED``) that lines with other
