@@ -8,9 +8,9 @@ shingles). Alike lines of ``n`` tokens share at least ``k`` of their first ``n -
 
 1. Prefix: a bitmap of ``SLOT_BITS`` slots (64 MB) marks the prefix tokens (``k = SHARED``) that lines with other
    token sets have too. Lines with fewer than ``k`` marked tokens have no match but equal lines.
-2. The others meet by marked token of the shortest prefix (``k = 1``), with their size, the token's position and a print of a byte for each of
-   their tokens. Length and positional filters and the prints (whose common
-   part is never smaller than that of the tokens) rule out nearly all pairs. Each line passes on up to
+2. The others meet by marked token of the shortest prefix (``k = 1``), with their size, the token's position and a print: parities
+   of the tokens by their low bits, about a bit for each token. Length and positional filters and the prints (which differ in
+   at most as many bits as the sets do in tokens) rule out nearly all pairs. Each line passes on up to
    ``PARTNERS`` earlier partners, in effect alike ones, so a family of copies makes no pairs of all with all.
 3. One such pair of each line is verified on the whole sets. Lines whose pair does not hold, and which had more, look at
    all of theirs. Tokens of more than ``block`` lines meet in pairs of blocks.
@@ -43,11 +43,13 @@ _BLOBS = 64
 SLOT_BITS, SLOT_BLOBS = 29, 256
 BLOCK = 32768
 PARTNERS = 1
+LEAST_BITS = 128
 LEAST_TOKENS = 3
 SHARED = 4
 _CHUNK = 1 << 19
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _HELD = 1 << 21
+_AT_ONCE = 1 << 16
 
 
 def shared_tokens(n: np.ndarray) -> np.ndarray:
@@ -254,43 +256,70 @@ def document_lines(docs: DataFrame, levels: np.ndarray, bits: np.ndarray) -> Dat
             wanted = fresh & (count >= lines.shared) & (early > 0)
             keys = marked & wanted[lines.own]
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(wanted, early, 0))]), pa.int32())
-            ends = np.concatenate([[0], np.cumsum(np.where(wanted, lines.n, 0))]).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(np.where(wanted, 8 * lines.n, 0))]).astype(np.int32)
             whole = lines.tokens[wanted[lines.own]]
             none = np.packbits(wanted, bitorder="little").tobytes()
-            blobs = [
-                pa.BinaryArray.from_buffers(pa.binary(), used, [pa.py_buffer(none), pa.py_buffer((ends * wide).tobytes()), pa.py_buffer(data.tobytes())])
-                for wide, data in ((1, whole.astype(np.uint8)), (8, whole.astype("<u8")))
-            ]
+            width = np.where(wanted, print_bits(lines.n), 0)
+            parts = (ends, whole.astype("<u8")), (np.concatenate([[0], np.cumsum(width // 8)]).astype(np.int32), token_prints(whole, lines.n[wanted]))
+            tokens, prints = (pa.BinaryArray.from_buffers(pa.binary(), used, [pa.py_buffer(none), pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())]) for at, data in parts)
             columns = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in (key[:, 0], key[:, 1], own, lines.c1.view(np.int64), lines.c2.view(np.int64), lines.n)]
             lists = [
                 pa.ListArray.from_arrays(offsets, pa.array(lines.tokens[keys].view(np.int64), pa.int64())),
                 pa.ListArray.from_arrays(offsets, pa.array(lines.place[keys], pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays([*columns, *lists, *blobs], names)
+            yield pa.RecordBatch.from_arrays([*columns, *lists, prints, tokens], names)
 
     return docs.select("text", *KEY).mapInArrow(find, _LINES)
 
 
-def _print_counts(tokens: list[bytes]) -> np.ndarray:
-    """How often each byte value is a token's print, for each line."""
-    out = np.zeros((len(tokens), 256), np.uint16)
-    low = np.frombuffer(b"".join(tokens), np.uint8)
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    cells = np.repeat(np.arange(len(tokens)), lengths) * 256 + low
-    out += np.bincount(cells, minlength=out.size).reshape(out.shape).astype(np.uint16)
-    return out
+def print_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the print of a line of ``n`` tokens: the next power of two."""
+    return np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
+def token_prints(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bytes of the prints, one after the other, of lines of ``n`` tokens each."""
+    bits = print_bits(n)
+    place = np.repeat(np.cumsum(bits) - bits, n) + (tokens & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=int(bits.sum())).astype(np.uint8) & 1, bitorder="little")
+
+
+class _Prints:
+    """Prints to be compared; the wider one of a pair is folded to the width of the other, at most twice as narrow."""
+
+    def __init__(self, prints: list[bytes]):
+        self.words = np.fromiter(map(len, prints), np.int64, len(prints)) // 8
+        self.rows = {}
+        for words in np.unique(self.words).tolist():
+            at, parts = np.zeros(len(prints), np.int64), []
+            for times in (1, 2):
+                own = np.flatnonzero(self.words == times * words)
+                at[own] = sum(map(len, parts)) + np.arange(len(own))
+                bits = np.frombuffer(b"".join(prints[i] for i in own.tolist()), "<u8").reshape(-1, times, words)
+                parts.append(np.bitwise_xor.reduce(bits, 1))
+            self.rows[words] = at, np.concatenate(parts)
+
+    def differing(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits the prints ``x`` and ``y`` differ."""
+        out = np.zeros(len(x), np.int64)
+        words = np.minimum(self.words[x], self.words[y])
+        for w in np.unique(words).tolist():
+            at, bits = self.rows[w]
+            of = np.flatnonzero(words == w)
+            for start in range(0, len(of), _AT_ONCE):
+                some = of[start : start + _AT_ONCE]
+                out[some] = np.bitwise_count(bits[at[x[some]]] ^ bits[at[y[some]]]).sum(1, dtype=np.int64)
+        return out
 
 
-def _may_be_alike(x: int, others: np.ndarray, n: np.ndarray, spot: np.ndarray, prints: list[bytes], counts: np.ndarray) -> np.ndarray:
+def _may_be_alike(x: int, others: np.ndarray, n: np.ndarray, spot: np.ndarray, prints: _Prints) -> np.ndarray:
     """Those of ``others`` that the length, positional and print filters leave to line ``x`` of a token."""
     m, j = n[others], spot[others]
     needed = -(-3 * (n[x] + m) // 7)
     most = np.minimum(spot[x], j) + 1 + np.minimum(n[x] - spot[x] - 1, m - j - 1)
-    others = others[(4 * np.minimum(n[x], m) >= 3 * np.maximum(n[x], m)) & (most >= needed)]
-    if not len(others):
-        return others
-    common = np.minimum(counts[x], counts[others]).sum(1, dtype=np.int64)
-    return others[common >= -(-3 * (n[x] + n[others]) // 7)]
+    fits = (4 * np.minimum(n[x], m) >= 3 * np.maximum(n[x], m)) & (most >= needed)
+    others, spare = others[fits], (n[x] + m - 2 * needed)[fits]
+    return others[prints.differing(np.full(len(others), x), others) <= spare]
 
 
 def token_partners(places: list[tuple], n: np.ndarray, spot: np.ndarray, prints: list[bytes], blocks: np.ndarray, partners: int | None, open_lines=None):
@@ -299,7 +328,7 @@ def token_partners(places: list[tuple], n: np.ndarray, spot: np.ndarray, prints:
     order = sorted(range(len(places)), key=lambda k: places[k])
     across = len(set(blocks.tolist())) > 1
     rank = np.array(order)
-    counts = _print_counts(prints)
+    bits = _Prints(prints)
     for i, x in enumerate(order):
         if open_lines is not None and not open_lines[x]:
             continue
@@ -309,7 +338,7 @@ def token_partners(places: list[tuple], n: np.ndarray, spot: np.ndarray, prints:
             start, width = start + width, min(2 * width, 8192)
             if across:
                 others = others[blocks[others] != blocks[x]]
-            found += _may_be_alike(x, others, n, spot, prints, counts).tolist()
+            found += _may_be_alike(x, others, n, spot, bits).tolist()
         more = partners is not None and len(found) > partners
         for y in found[:partners]:
             yield x, y, more
@@ -406,12 +435,8 @@ def _small_groups(rows: dict, starts: np.ndarray, sizes: np.ndarray, partners: i
     keep &= np.minimum(spot[x], spot[y]) + 1 + np.minimum(n[x] - spot[x] - 1, n[y] - spot[y] - 1) >= needed
     x, y, needed = x[keep], y[keep], needed[keep]
     used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-    fits = np.zeros(len(x), bool)
-    counts = _print_counts([rows["prints"][i] for i in used.tolist()])
-    for start in range(0, len(x), 8192):
-        piece = slice(start, start + 8192)
-        common = np.minimum(counts[at[: len(x)][piece]], counts[at[len(x) :][piece]]).sum(1, dtype=np.int64)
-        fits[piece] = common >= needed[piece]
+    bits = _Prints([rows["prints"][i] for i in used.tolist()])
+    fits = bits.differing(at[: len(x)], at[len(x) :]) <= n[x] + n[y] - 2 * needed
     x, y = x[fits], y[fits]
     order = np.lexsort([rows["line"][y], rows[KEY[1]][y], rows[KEY[0]][y], x])
     x, y = x[order], y[order]

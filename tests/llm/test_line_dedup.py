@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from rarespark.llm.line_dedup import _matched, drop_repeated_lines, token_partners
+from rarespark.llm.line_dedup import _matched, _Prints, drop_repeated_lines, print_bits, token_partners, token_prints
 from tests.llm.odd import ROWS, no_documents, odd_documents
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -38,6 +38,10 @@ def brute(rows):
     return out
 
 
+def as_print(tokens):
+    return token_prints(np.array(tokens, np.uint64), np.array([len(tokens)])).tobytes()
+
+
 def lines_with_edits(draw):
     base = [" ".join(draw.choice(WORDS) for _ in range(draw.randint(1, 40))) for _ in range(20)]
     rows = []
@@ -59,13 +63,29 @@ def test_against_brute_force(spark, block):
     assert {r.doc_id: r.text for r in drop_repeated_lines(df, block).collect()} == brute(rows)
 
 
+def test_prints_differ_in_no_more_bits_than_sets_in_tokens():
+    draw = random.Random(7)
+    base = [draw.getrandbits(64) for _ in range(300)]
+    sets = [set(draw.sample(base, draw.randint(90, 250))) | {draw.getrandbits(64)} for _ in range(60)]
+    n = np.array([len(s) for s in sets])
+    together = token_prints(np.array([t for s in sets for t in s], np.uint64), n)
+    cuts = np.cumsum(print_bits(n) // 8)[:-1]
+    prints = [p.tobytes() for p in np.split(together, cuts)]
+    assert prints == [as_print(list(s)) for s in sets] and {len(p) for p in prints} == {16, 32}
+    x, y = (a.ravel() for a in np.meshgrid(range(60), range(60)))
+    for i, j, differing in zip(x.tolist(), y.tolist(), _Prints(prints).differing(x, y).tolist()):
+        width = 8 * min(len(prints[i]), len(prints[j]))
+        odd = {b for b in range(width) if sum(t % width == b for t in sets[i] ^ sets[j]) % 2}
+        assert differing == len(odd) <= len(sets[i] ^ sets[j])
+
+
 @pytest.mark.parametrize("partners", [None, 1])
 def test_partners_of_a_token_against_brute_force(partners):
     """No alike earlier line is ruled out; lines that share their first token, in another order than their places."""
     draw = random.Random(4)
     lines = [sorted(draw.sample(range(1, 30), draw.randint(2, 14)) + [0]) for _ in range(200)]
     places = [(i, 0, 0) for i in draw.sample(range(200), 200)]
-    n, prints = np.array([len(x) for x in lines]), [bytes(x) for x in lines]
+    n, prints = np.array([len(x) for x in lines]), [as_print(x) for x in lines]
     found = {}
     for later, earlier, more in token_partners(places, n, np.zeros(200, int), prints, np.zeros(200, int), partners):
         found.setdefault(later, []).append((earlier, more))
@@ -83,7 +103,7 @@ def test_tokens_of_few_lines_together_are_like_each_alone():
     for _ in range(60):
         for _ in range(draw.choice([1, 2, 3, 9, 30])):
             tokens = draw.sample(range(1, 12), draw.randint(2, 10))
-            values = (draw.randint(0, 5), draw.randint(0, 1), len(rows["_id"]), draw.getrandbits(40), len(tokens), draw.randint(0, 1), bytes(tokens), 0, draw.random() < 0.5)
+            values = (draw.randint(0, 5), draw.randint(0, 1), len(rows["_id"]), draw.getrandbits(40), len(tokens), draw.randint(0, 1), as_print(tokens), 0, draw.random() < 0.5)
             for c, v in zip(rows, values):
                 rows[c].append(v)
         cuts.append(len(rows["_id"]))
