@@ -2,8 +2,10 @@
 
 Within each class rows are ordered by a seeded hash of their id. A split needs
 only the two cut points of that order, so they are found by counting: a
-histogram of the leading hash bits finds the cell each cut lies in, and the rows
-of these few cells (about ``rows / 4096`` each) are ranked. Assigning the split
+histogram of the leading hash bits finds the cell each cut lies in. Cells of more
+than ``CELL_ROWS`` rows are counted again by their next bits, and so on; then
+the rows of these few cells are ranked. A round reads ids and targets, moves a few thousand
+counts, and makes cells 4096 times smaller: two rounds are enough for 10^12 rows. Assigning the split
 is then a comparison with literals in the scan itself.
 """
 
@@ -11,6 +13,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +23,8 @@ from rarespark.functions.draws import DRAW_BITS, draw_bits
 from rarespark.settings import SEED, TRAIN_SHARE, VALID_SHARE
 
 SPLITS = ("train", "validation", "test")
-_CELL_BITS = 12
+CELL_BITS = 12
+CELL_ROWS = 100_000
 
 
 def _floor_share(share: float, n: int) -> int:
@@ -51,6 +56,40 @@ class StratifiedSplit:
         return df.withColumn(out, name)
 
 
+@dataclass(frozen=True)
+class _Cut:
+    """The row of rank ``rank`` (from 1) among those of a class whose hash, without its last ``left`` bits, is ``cell``."""
+
+    label: int
+    which: int
+    rank: int
+    cell: int
+    left: int
+
+    def holds(self) -> Column:
+        return (F.col("y") == self.label) & (F.shiftright("h", self.left) == self.cell)
+
+
+def _cell_counts(hashed: DataFrame, left: int) -> dict[int, list[tuple[int, int]]]:
+    """class -> [(cell, rows)], ascending. Bounded: the rows given lie in few cells of the round before."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for r in sorted(hashed.groupBy("y", F.shiftright("h", left).alias("cell")).agg(F.count("*").alias("n")).collect()):
+        found.setdefault(r["y"], []).append((r["cell"], r["n"]))
+    return found
+
+
+def _inner(cut: _Cut, cells: list[tuple[int, int]], left: int) -> tuple[_Cut, int]:
+    """The same cut in the finer cell it lies in, and the rows of that cell."""
+    rank = cut.rank
+    for cell, n in cells:
+        if cell >> (cut.left - left) != cut.cell:
+            continue
+        if rank <= n:
+            return _Cut(cut.label, cut.which, rank, cell, left), n
+        rank -= n
+    raise ValueError("the rows changed between two passes")
+
+
 def fit_split(
     df: DataFrame,
     key: str,
@@ -58,44 +97,43 @@ def fit_split(
     seed: int = SEED,
     train_share: float = TRAIN_SHARE,
     valid_share: float = VALID_SHARE,
+    cell_bits: int = CELL_BITS,
+    cell_rows: int = CELL_ROWS,
 ) -> StratifiedSplit:
-    """Find the cut points. Reads only ``key`` and ``target``; moves counts."""
+    """Find the cut points. Reads only ``key`` and ``target``; moves counts, and at most ``cell_rows``
+    rows for each cut (more only where so many ids share all bits of their hashes). Rows without target are in no split."""
     hashed = df.select(
         F.col(target).cast("int").alias("y"), F.col(key).alias("id"), draw_bits(seed, "split", F.col(key)).alias("h")
-    ).withColumn("cell", F.shiftright("h", DRAW_BITS - _CELL_BITS))
-    # bounded: 4,096 cells for each class of a binary target
-    cells = hashed.groupBy("y", "cell").agg(F.count("*").alias("n"))
-    running = Window.partitionBy("y").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("y")
-    cells = cells.select("y", "cell", F.sum("n").over(running).alias("upto"), "n", F.sum("n").over(whole).alias("size"))
-    train_n = F.floor(F.round(F.lit(train_share) * F.col("size"), 6))
-    valid_n = train_n + F.floor(F.round(F.lit(valid_share) * F.col("size"), 6))
-    holds = lambda rank: (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)
-    wanted = cells.where(holds(train_n) | holds(valid_n) | (F.col("upto") == F.col("size"))).collect()
-
-    sizes = {r["y"]: r["size"] for r in wanted}
-    ranks = {}
-    for label, size in sizes.items():
+    ).where("y IS NOT NULL")
+    left = DRAW_BITS - cell_bits
+    counts = _cell_counts(hashed, left)
+    cuts: dict[int, list] = {label: [None, None] for label in counts}
+    wide, small = [], []
+    for label, cells in counts.items():
+        size = sum(n for _, n in cells)
         n_train = _floor_share(train_share, size)
-        ranks[label] = [n_train, n_train + _floor_share(valid_share, size)]
-    todo = []  # (class, cell, rank inside the cell, which cut)
-    for r in wanted:
-        for which, rank in enumerate(ranks[r["y"]]):
-            if r["upto"] - r["n"] < rank <= r["upto"]:
-                todo.append((r["y"], r["cell"], rank - (r["upto"] - r["n"]), which))
-    cuts: dict[int, list] = {label: [None, None] for label in sizes}
-    if todo:
-        in_cell = F.lit(False)
-        picked = F.lit(False)
-        for label, cell, rank, _ in todo:
-            here = (F.col("y") == label) & (F.col("cell") == cell)
-            in_cell = in_cell | here
-            picked = picked | (here & (F.col("rank") == rank))
-        order = Window.partitionBy("y", "cell").orderBy("h", "id")
-        rows = hashed.where(in_cell).withColumn("rank", F.row_number().over(order)).where(picked).collect()
-        found = {(r["y"], r["cell"], r["rank"]): (r["h"], r["id"]) for r in rows}
-        for label, cell, rank, which in todo:
-            cuts[label][which] = found[(label, cell, rank)]
+        for which, rank in enumerate((n_train, n_train + _floor_share(valid_share, size))):
+            if rank:
+                wide.append(_Cut(label, which, rank, 0, DRAW_BITS))
+    while wide:
+        finer = [_inner(cut, counts[cut.label], left) for cut in wide]
+        wide = [cut for cut, n in finer if n > cell_rows and left]
+        small += [cut for cut, n in finer if n <= cell_rows or not left]
+        if wide:
+            left = max(0, left - cell_bits)
+            counts = _cell_counts(hashed.where(reduce(or_, [cut.holds() for cut in wide])), left)
+    if small:
+        # cuts of one class may share a cell, other cells are disjoint
+        places = list(dict.fromkeys((cut.label, cut.cell, cut.left) for cut in small))
+        place = F.coalesce(*[F.when(_Cut(label, 0, 0, cell, bits).holds(), i) for i, (label, cell, bits) in enumerate(places)])
+        ranks = [(places.index((cut.label, cut.cell, cut.left)), cut.rank) for cut in small]
+        picked = reduce(or_, [(F.col("place") == i) & (F.col("rank") == rank) for i, rank in ranks])
+        rows = hashed.where(reduce(or_, [cut.holds() for cut in small])).withColumn("place", place)
+        order = Window.partitionBy("place").orderBy("h", "id")
+        rows = rows.withColumn("rank", F.row_number().over(order)).where(picked).collect()  # a row a cut
+        found = {(r["place"], r["rank"]): (r["h"], r["id"]) for r in rows}
+        for cut, at in zip(small, ranks):
+            cuts[cut.label][cut.which] = found[at]
     return StratifiedSplit(key, target, seed, cuts)
 
 

@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rarespark.functions.draws import uniform
-from rarespark.operators import checks
+from rarespark.functions.draws import draw_bits, uniform
+from rarespark.operators import checks, split
 from rarespark.operators.split import fit_split, synthetic_count
+from rarespark.settings import SEED
 
 
 def labelled(spark, n, every, partitions=4):
@@ -45,6 +46,37 @@ def test_independent_of_partitioning(spark):
     assert names[0] == names[1] == names[2]
 
 
+@pytest.mark.parametrize("bits,rows", [(2, 20), (3, 1), (12, 100_000)])
+def test_wide_cells_are_counted_again(spark, monkeypatch, bits, rows):
+    """The same split by any number of rounds; few rows are ranked."""
+    df = labelled(spark, 3000, 8).unionByName(spark.createDataFrame([(5000, None)], "k bigint, y int"))
+    whole = fit_split(df, "k", "y")
+    rounds = []
+    counted = split._cell_counts
+
+    def counting(hashed, left):
+        rounds.append(hashed.count())
+        return counted(hashed, left)
+
+    monkeypatch.setattr(split, "_cell_counts", counting)
+    fine = fit_split(df, "k", "y", cell_bits=bits, cell_rows=rows)
+    assert fine.cuts == whole.cuts
+    assert len(rounds) > 2 if bits < 12 else len(rounds) == 1
+    assert rounds == sorted(rounds, reverse=True) and rounds[0] == 3000
+    hashes = df.where("y IS NOT NULL").select("y", "k", draw_bits(SEED, "split", F.col("k")).alias("h")).collect()
+    for label in (0, 1):
+        ordered = sorted((r.h, r.k) for r in hashes if r.y == label)
+        n = len(ordered)
+        assert fine.cuts[label] == [ordered[int(0.6 * n + 1e-6) - 1], ordered[int(0.6 * n + 1e-6) + int(0.2 * n + 1e-6) - 1]]
+    assert fine.assign(df).where("k = 5000").first()["split"] is None
+
+
+def test_copies_of_an_id_end_the_rounds(spark):
+    df = spark.range(300).select(F.lit(7).alias("k"), F.lit(1).alias("y"))
+    fit = fit_split(df, "k", "y", cell_bits=8, cell_rows=10)
+    assert fit.cuts[1][0] == fit.cuts[1][1] and fit.cuts[1][0][1] == 7
+
+
 def test_splits_are_disjoint(spark):
     df = labelled(spark, 500, 5)
     out = fit_split(df, "k", "y").assign(df)
