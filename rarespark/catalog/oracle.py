@@ -57,21 +57,27 @@ _NUM_STATS = ", medians AS (SELECT " + ", ".join(
 _MODEL = _SPLIT_TX + _FREQ + _CAT_STATS + _NUM_STATS
 
 
-def _layers(source: str, width: int, widths: list[int], at: int) -> str:
-    """Dense layers with weights drawn by number from ``at`` on, rectified except the last; 64 numbers a vector."""
+_X = "x AS (SELECT vec_id AS id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS value FROM embeddings WHERE label = 0)"
+_ENCODE = 64, [128, 64, 8], 0
+_DECODE = 8, [64, 128, 64], 64 * 128 + 128 + 128 * 64 + 64 + 64 * 8 + 8
+
+
+def _layer_parts(source: str, width: int, widths: list[int], at: int, h: str = "h") -> str:
+    """Dense layers with weights drawn by number from ``at`` on, rectified except the last, from ``source(id, pos, value)``."""
     draw = lambda number: f"(({_u('weight', f'({number})')} - 0.5) * 0.2)"
-    parts = [
-        "x AS (SELECT vec_id AS id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS value FROM embeddings WHERE label = 0)",
-        f"h0 AS (SELECT * FROM {source})",
-    ]
+    parts = [f"{h}0 AS (SELECT * FROM {source})"]
     for i, columns in enumerate(widths):
-        w = f"w{i} AS (SELECT r, c, {draw(f'{at} + r * {columns} + c')} AS w FROM range({width}) a(r), range({columns}) b(c))"
-        b = f"b{i} AS (SELECT c, {draw(f'{at + width * columns} + c')} AS b FROM range({columns}) t(c))"
+        w = f"{h}w{i} AS (SELECT r, c, {draw(f'{at} + r * {columns} + c')} AS w FROM range({width}) a(r), range({columns}) b(c))"
+        b = f"{h}b{i} AS (SELECT c, {draw(f'{at + width * columns} + c')} AS b FROM range({columns}) t(c))"
         z = "sum(value * w) + any_value(b)"
         made = z if i == len(widths) - 1 else f"greatest({z}, 0.0)"
-        parts += [w, b, f"h{i + 1} AS (SELECT id, c AS pos, {made} AS value FROM h{i} JOIN w{i} ON r = pos JOIN b{i} USING (c) GROUP BY id, c)"]
+        parts += [w, b, f"{h}{i + 1} AS (SELECT id, c AS pos, {made} AS value FROM {h}{i} JOIN {h}w{i} ON r = pos JOIN {h}b{i} USING (c) GROUP BY id, c)"]
         at, width = at + width * columns + columns, columns
-    return "WITH " + ", ".join(parts) + f" SELECT id, CAST(pos AS INTEGER) AS pos, {_r('value', 'value')} FROM h{len(widths)}"
+    return ", ".join(parts)
+
+
+def _layers(source: str, *layers) -> str:
+    return f"WITH {_X}, {_layer_parts(source, *layers)} SELECT id, CAST(pos AS INTEGER) AS pos, {_r('value', 'value')} FROM h3"
 
 
 def _number_code(c: str) -> str:
@@ -167,13 +173,14 @@ wanted AS (
   SELECT greatest(0, round_even(sum(1 - y) / (1.0 - {_RATE})::DOUBLE - count(*), 0))::BIGINT AS n FROM {rows})"""
 
 
-_MADE = f""", draws AS (
+_MADE_ROWS = f""", draws AS (
   SELECT i, floor({_u('a', 'i')} * m)::BIGINT AS position, floor({_u('b', 'i')} * k)::BIGINT + 1 AS rank, {_u('l', 'i')} AS share
   FROM (SELECT unnest(range((SELECT n FROM wanted))) AS i), size),
 made AS (
   SELECT i, a.id AS anchor_id, n.neighbor_id, share, a.x AS ax, b.x AS bx
   FROM draws d JOIN minority a USING (position) JOIN near n ON n.id = a.id AND n.rank = d.rank JOIN minority b ON b.id = n.neighbor_id),
-long AS (SELECT i, anchor_id, neighbor_id, share, unnest(ax) AS av, unnest(bx) AS bv, generate_subscripts(ax, 1) - 1 AS pos FROM made)
+long AS (SELECT i, anchor_id, neighbor_id, share, unnest(ax) AS av, unnest(bx) AS bv, generate_subscripts(ax, 1) - 1 AS pos FROM made)"""
+_MADE = f"""{_MADE_ROWS}
 SELECT i, anchor_id, neighbor_id, {_r('share', 'share')}, pos::INTEGER AS pos, {_r('av + share * (bv - av)', '"value"')} FROM long"""
 
 _GRID = "grid AS (SELECT cell, latent_dim, rate, avg(o_totalprice) / max(o_totalprice) AS average_precision FROM (SELECT (o_orderkey % 20)::INTEGER AS cell, " + (
@@ -310,8 +317,16 @@ def statements() -> dict[str, str]:
         + f", {whole(16, 256, 'num_leaves')}, {whole(10, 200, 'min_child_samples')}, "
         + _r(f"0.5 + 0.5 * {u('subsample')}", "subsample") + ", " + _r(f"0.5 + 0.5 * {u('colsample_bytree')}", "colsample_bytree") + " FROM t"
     )
-    sql["ae_encode_fixed"] = _layers("x", 64, [128, 64, 8], 0)
-    sql["ae_decode_fixed"] = _layers("x WHERE pos < 8", 8, [64, 128, 64], 64 * 128 + 128 + 128 * 64 + 64 + 64 * 8 + 8)
+    sql["ae_encode_fixed"] = _layers("x", *_ENCODE)
+    sql["ae_decode_fixed"] = _layers("x WHERE pos < 8", *_DECODE)
+    sql["ae_oversample_fixed"] = (
+        f"WITH {_VECTORS}, {_X}, {_layer_parts('x', *_ENCODE)}, latent AS (SELECT id, list(value ORDER BY pos) AS x FROM h3 GROUP BY id), "
+        f"coded AS MATERIALIZED (SELECT v.id, v.y, l.x FROM vectors v LEFT JOIN latent l USING (id)){_neighbours('coded')}{_MADE_ROWS}, "
+        f"midway AS (SELECT i AS id, pos, av + share * (bv - av) AS value FROM long), {_layer_parts('midway', *_DECODE, 'd')}, "
+        "every AS (SELECT -id - 1 AS id, 1 AS y, true AS is_synthetic, pos, value FROM d3 "
+        "UNION ALL SELECT id, y, false, unnest(range(64)), unnest(x) FROM vectors) "
+        f"SELECT id, y, is_synthetic, pos::INTEGER AS pos, {_r('value::FLOAT::DOUBLE', '\"value\"')} FROM every"
+    )
     by_rate = ", ".join(_r(f"max(CASE WHEN rate = {r} THEN average_precision END)", f"rate_{round(r * 100):02d}") for r in RATE_GRID)
     sql["sensitivity_pivot"] = f"WITH {_GRID} SELECT latent_dim, {by_rate} FROM grid GROUP BY 1"
     sql["sensitivity_top"] = f"WITH {_GRID} SELECT {_GRID_COLUMNS} FROM grid ORDER BY grid.average_precision DESC, cell LIMIT 10"

@@ -122,6 +122,15 @@ def ae_decode_fixed(spark, root):
     return back.select("id", F.posexplode("features").alias("pos", "value"))
 
 
+def ae_oversample_fixed(spark, root):
+    """All rows and the decoded ones between latent neighbours, with the drawn weights."""
+    rows = inputs.vectors(spark, root)
+    minority = rows.where("y = 1")
+    model = _fixed_autoencoder(minority)
+    made = latent_oversample(rows, model, RATE, latent_anchors(model, minority))
+    return made.select("id", "y", "is_synthetic", F.posexplode("features").alias("pos", "value"))
+
+
 def stratified_split(spark, root):
     rows = inputs.fact_rows(spark, root)
     return split.fit_split(rows, "id", "y").assign(rows).select("id", "y", "split")
@@ -387,7 +396,7 @@ _REGISTERED = [
     threshold_sweep_rounded, best_threshold, pr_curve, roc_curve, roc_curve_full, knn, smote_vectors, smote_features,
     augmented_rate, scores_wide, scenario_metrics, scenario_deltas, best_scenario, ap_bars, curve_scenarios, drawn_pr_curves, drawn_roc_curves_untuned,
     best_threshold_table, sensitivity_pivot, sensitivity_top, best_cell, gbt_scores, gbt_staged_ap, ae_oversample,
-    ae_encode, ae_encode_fixed, ae_decode_fixed, trial_draws, search_trials, sensitivity_grid, experiment_metrics, experiment_document,
+    ae_encode, ae_encode_fixed, ae_decode_fixed, ae_oversample_fixed, trial_draws, search_trials, sensitivity_grid, experiment_metrics, experiment_document,
 ]
 
 
