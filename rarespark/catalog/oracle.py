@@ -317,6 +317,7 @@ def statements() -> dict[str, str]:
         + f", {whole(16, 256, 'num_leaves')}, {whole(10, 200, 'min_child_samples')}, "
         + _r(f"0.5 + 0.5 * {u('subsample')}", "subsample") + ", " + _r(f"0.5 + 0.5 * {u('colsample_bytree')}", "colsample_bytree") + " FROM t"
     )
+    sql["required_tables"] = f"WITH {_FACTS} SELECT 'facts' AS table_name, true AS found, count(*) AS rows FROM facts UNION ALL SELECT 'sides', false, 0"
     sql["ae_encode_fixed"] = _layers("x", *_ENCODE)
     sql["ae_decode_fixed"] = _layers("x WHERE pos < 8", *_DECODE)
     sql["ae_oversample_fixed"] = (

@@ -55,6 +55,22 @@ def csv_source(spark, root):
     return loaded.withColumn("n_lines", F.col("n_lines").cast("double"))
 
 
+def required_tables(spark, root):
+    """Rows of each required table of a folder that lacks one; the missing one is what the error names."""
+    folder = scratch_path(spark, "lacking")
+    fact, side = inputs.fact_rows(spark, root), inputs.side_rows(spark, root)
+    write_csv(fact, f"{folder}/facts.csv")
+    found = []
+    for name, rows in (("facts", fact), ("sides", side)):
+        try:
+            table = read_table(spark, folder, name, rows.schema)
+            found.append(table.agg(F.lit(name).alias("table_name"), F.lit(True).alias("found"), F.count("*").alias("rows")))
+        except FileNotFoundError as error:
+            named = [n for n in ("facts", "sides") if f"required table {n} " in str(error)]
+            found.append(spark.createDataFrame([(n, False, 0) for n in named], "table_name string, found boolean, rows bigint"))
+    return found[0].unionByName(found[1])
+
+
 def _dirty_table(spark, lines):
     path = f"{scratch_path(spark, 'dirty')}/dirty.csv"
     lines.write.text(path)
@@ -390,7 +406,7 @@ def experiment_document(spark, root):
 
 
 _REGISTERED = [
-    left_join_side, csv_source, csv_dirty, csv_whole_text, csv_round_trip, json_round_trip, stratified_split, split_summary, rate_percent, split_disjoint, dup_keys, null_target,
+    left_join_side, csv_source, required_tables, csv_dirty, csv_whole_text, csv_round_trip, json_round_trip, stratified_split, split_summary, rate_percent, split_disjoint, dup_keys, null_target,
     freq_table, num_stats, preprocessing_summary, encode_dense, encode_mixed, saved_preprocessor, coerce_numeric, finite_check, class_weight,
     class_weight_train, synth_counts, average_precision, roc_auc, metrics_at_threshold, decisions, threshold_sweep,
     threshold_sweep_rounded, best_threshold, pr_curve, roc_curve, roc_curve_full, knn, smote_vectors, smote_features,
