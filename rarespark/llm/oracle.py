@@ -2,21 +2,22 @@
 
 _URL = r"""
 WITH parts AS (
-  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, url, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
 ), split AS (
-  SELECT page_id, rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, url, rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
          regexp_replace(regexp_replace('&' || regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&utm_[^&]*', '', 'g'), '^&', '') AS query
   FROM parts
 ), named AS (
-  SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path,
+  SELECT page_id, url, coalesce(host, '') AS host, coalesce(path, '') AS path,
          CASE WHEN host <> '' THEN
            regexp_replace(regexp_replace(host, ':[0-9]*$', ''), '^(www\.|m\.)', '')
            || regexp_replace(regexp_replace(path, '/+$', ''), '\.html$', '')
            || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS canonical
   FROM split
 ), listed AS (
-  SELECT DISTINCT canonical FROM named WHERE regexp_matches(host, 'casino|pills|bets|adult') AND canonical IS NOT NULL
+  SELECT DISTINCT canonical FROM named
+  WHERE (starts_with(md5(url), '0') OR regexp_matches(host, 'casino|pills|bets|adult')) AND canonical IS NOT NULL
 ), rules(verdict, rule, site, start) AS (
   VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
          ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')
@@ -151,7 +152,8 @@ WITH RECURSIVE bits(x, c, n) AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, substr(role, 1, 1) AS i FROM damaged
 ), faulty AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS again,
-         regexp_replace(text, '[ 	-]+$', '') AS said, lag(i) OVER (PARTITION BY conv_id ORDER BY p) AS before FROM placed
+         regexp_replace(text, '[ 	-
+]+$', '') AS said, lag(i) OVER (PARTITION BY conv_id ORDER BY p) AS before FROM placed
 ), rows AS (
   SELECT *, CASE WHEN said = '' THEN 1 WHEN again THEN 2 WHEN NOT regexp_matches(said, '[.!?]$') THEN 3 ELSE 0 END AS fault FROM faulty
 ), counted AS (

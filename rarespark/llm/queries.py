@@ -38,20 +38,24 @@ def op4_token_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-# --- fixed values: rules and words of hosts whose pages are listed ------------
+# --- fixed values: rules, and words of hosts and beginnings of digests whose URLs are listed ---
 URL_RULES = [
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
 ]
 LISTED_HOSTS = "casino|pills|bets|adult"
+LISTED_DIGESTS = "0"
 # --- end of fixed values ------------------------------------------------------
 
 
 def op1_url_filter(spark: SparkSession, root: str) -> DataFrame:
-    """The list is made of the URLs of all pages on hosts with a listed word."""
+    """The list holds the spellings of URLs whose md5 digest begins with ``LISTED_DIGESTS``, about one in
+    16 on any host, and those on hosts with a listed word. Neither host nor canonical form tells whether
+    a page is listed: other spellings of a listed page are found by the filter and the join only."""
     from rarespark.llm.url_filter import judge_urls, url_host
 
     pages = read(spark, root, "pages").select("page_id", "url")
-    listed = pages.where(url_host(F.col("url")).rlike(LISTED_HOSTS))
+    drawn = F.md5(F.encode("url", "UTF-8")).startswith(LISTED_DIGESTS)
+    listed = pages.where(drawn | url_host(F.col("url")).rlike(LISTED_HOSTS))
     return judge_urls(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 

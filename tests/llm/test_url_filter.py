@@ -52,3 +52,21 @@ def test_empty_tables(spark):
     assert judge_urls(none, URL_RULES, none).count() == 0
     pages = spark.createDataFrame([(1, "http://a.net/")], none.schema)
     assert judge_urls(pages, [], none).first().verdict == "allow"
+
+
+def test_query_finds_other_spellings_of_listed_urls(spark, tmp_path):
+    """Pages of the query's list by digest of one spelling; their other spellings carry other digests."""
+    from hashlib import md5
+
+    from rarespark.llm.queries import op1_url_filter
+
+    spelled = [[f"https://www.site{i}.net/a{i}/", f"http://site{i}.net/a{i}.html", f"http://m.site{i}.net:80/a{i}?utm_source=x"] for i in range(200)]
+    rows = [(3 * i + k, url) for i, forms in enumerate(spelled) for k, url in enumerate(forms)]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in op1_url_filter(spark, str(tmp_path)).collect()}
+    begins = lambda url: md5(url.encode()).hexdigest().startswith("0")
+    want = {3 * i + k: "block" if any(map(begins, forms)) else "allow" for i, forms in enumerate(spelled) for k in range(3)}
+    assert got == want
+    blocked = [p for p, v in got.items() if v == "block"]
+    listed = [p for p, u in rows if begins(u)]
+    assert len(listed) < len(blocked) < len(rows) / 2
