@@ -13,6 +13,7 @@ from rarespark.plans.reports import scores_long
 from rarespark.session import materialize
 from rarespark.settings import LATENT_GRID, RATE_GRID, SEED
 
+LINE_FEATURES, DEAR_LINE = ["l_quantity", "l_discount", "l_tax"], 60_000.0
 CATEGORICAL = ["o_custkey", "o_orderstatus", "max_returnflag"]
 NUMERIC = ["o_totalprice", "n_lines", "sum_price", "avg_discount", "const_one", "all_null"]
 
@@ -163,3 +164,10 @@ def grid_cells(spark: SparkSession, root: str) -> DataFrame:
         of(RATE_GRID, F.col("cell") % len(RATE_GRID)).alias("rate"),
         "average_precision",
     )
+
+
+def line_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Order lines with few-valued features, so that every value is a possible split; dear lines are the positive ones."""
+    features = F.array(*[F.col(c).cast("double") for c in LINE_FEATURES]).alias("features")
+    y = F.coalesce((F.col("l_extendedprice") > DEAR_LINE).cast("int"), F.lit(0)).alias("y")
+    return read(spark, root, "lineitem").select("l_orderkey", "l_linenumber", y, features)

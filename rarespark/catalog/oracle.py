@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rarespark.catalog.inputs import CATEGORICAL, NUMERIC, SCORE_RECIPES
+from rarespark.catalog.inputs import CATEGORICAL, DEAR_LINE, LINE_FEATURES, NUMERIC, SCORE_RECIPES
 from rarespark.operators.metrics import threshold_grid
 from rarespark.settings import COMPARISONS, K_NEIGHBORS, LATENT_GRID, MISSING_TOKEN, RATE_GRID, SCENARIOS, SEED
 
@@ -190,6 +190,28 @@ _GRID = "grid AS (SELECT cell, latent_dim, rate, avg(o_totalprice) / max(o_total
 _GRID_COLUMNS = f"cell, latent_dim, {_r('rate', 'rate')}, {_r('average_precision', 'average_precision')}"
 
 
+def _stumps(trees: int, step: float, weight: float, least: int) -> str:
+    """``g0`` to ``g<trees>``: the rows with the summed outputs ``f`` of so many trees of one split.
+
+    A tree is fitted to the slope of the log loss at ``f``; its split leaves the smallest squared error."""
+    label = lambda t: "s" if t == 0 else "4 * s / (1 + exp(2 * s * f))"
+    parts = [f"""g0 AS MATERIALIZED (SELECT l_orderkey, l_linenumber, {', '.join(LINE_FEATURES)}, y, 2 * y - 1 AS s,
+        CASE WHEN y = 1 THEN {weight} ELSE 1.0 END::DOUBLE AS w, 0.0::DOUBLE AS f
+        FROM (SELECT *, coalesce(l_extendedprice > {DEAR_LINE}, false)::INTEGER AS y FROM lineitem))"""]
+    for t in range(trees):
+        counted = " UNION ALL ".join(
+            f"SELECT {i} AS c, {x} AS v, count(*) AS n, sum(w) AS w, sum(w * {label(t)}) AS m FROM g{t} GROUP BY {x}" for i, x in enumerate(LINE_FEATURES)
+        )
+        parts.append(f"""c{t} AS (SELECT c, v, sum(n) OVER up AS n, sum(w) OVER up AS w, sum(m) OVER up AS m,
+            sum(n) OVER (PARTITION BY c) AS an, sum(w) OVER (PARTITION BY c) AS aw, sum(m) OVER (PARTITION BY c) AS am
+            FROM ({counted}) WINDOW up AS (PARTITION BY c ORDER BY v))""")
+        parts.append(f"""b{t} AS MATERIALIZED (SELECT c, v, m / w AS low, (am - m) / (aw - w) AS high FROM c{t}
+            WHERE n >= {least} AND an - n >= {least} ORDER BY m * m / w + (am - m) * (am - m) / (aw - w) DESC, c, v LIMIT 1)""")
+        side = "CASE c " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(LINE_FEATURES)) + " END <= v"
+        parts.append(f"g{t + 1} AS MATERIALIZED (SELECT g{t}.* EXCLUDE (f), f + {1.0 if t == 0 else step} * CASE WHEN {side} THEN low ELSE high END AS f FROM g{t}, b{t})")
+    return ", ".join(parts)
+
+
 def statements() -> dict[str, str]:
     sql: dict[str, str] = {}
     tx_columns = ["o_totalprice", "sum_price", "avg_discount"]
@@ -318,6 +340,12 @@ def statements() -> dict[str, str]:
         + _r(f"0.5 + 0.5 * {u('subsample')}", "subsample") + ", " + _r(f"0.5 + 0.5 * {u('colsample_bytree')}", "colsample_bytree") + " FROM t"
     )
     sql["required_tables"] = f"WITH {_FACTS} SELECT 'facts' AS table_name, true AS found, count(*) AS rows FROM facts UNION ALL SELECT 'sides', false, 0"
+    stumps = f"WITH {_stumps(3, 0.3, 3.0, 50)}"
+    sql["gbt_stumps"] = f"{stumps} SELECT l_orderkey, l_linenumber, {_r('1 / (1 + exp(-2 * f))', 'score')} FROM g3"
+    prefixes = " UNION ALL ".join(f"SELECT {t} AS scenario, y, f AS score FROM g{t}" for t in (1, 2, 3))
+    sql["gbt_stumps_staged_ap"] = (
+        f"{stumps}, scores AS ({prefixes}){_cumulative('scores')} SELECT scenario AS iteration, {_r(_AP_SQL, 'average_precision')} FROM cum GROUP BY 1"
+    )
     sql["ae_encode_fixed"] = _layers("x", *_ENCODE)
     sql["ae_decode_fixed"] = _layers("x WHERE pos < 8", *_DECODE)
     sql["ae_oversample_fixed"] = (

@@ -14,7 +14,7 @@ from rarespark.functions.draws import uniform
 from rarespark.functions.values import to_number
 from rarespark.operators import checks, metrics, split
 from rarespark.operators.autoencoder import Autoencoder, fit_autoencoder, latent_anchors, latent_oversample, layer_shapes
-from rarespark.operators.boosting import TreeParams, fit_boosted, staged_average_precision
+from rarespark.operators.boosting import TreeParams, fit_boosted, fit_trees, staged_average_precision
 from rarespark.operators.features import FeatureModel, frequency_table
 from rarespark.operators.neighbors import nearest_neighbors, neighbor_rows
 from rarespark.operators.oversample import rows_to_add, smote, smote_oversample
@@ -30,6 +30,8 @@ FIXED_LATENT, FIXED_SCALE = 8, 0.2
 # the number of trees is all that the training queries lower
 TREES, SEARCH_TREES = 10, 5
 
+STUMPS = TreeParams(n_estimators=3, learning_rate=0.3, num_leaves=2, subsample=1.0, colsample_bytree=1.0, scale_pos_weight=3.0)
+
 
 def tidy(df: DataFrame) -> DataFrame:
     out = []
@@ -366,6 +368,17 @@ def gbt_staged_ap(spark, root):
     return staged_average_precision(fit_boosted(train, valid, TreeParams(n_estimators=TREES)), valid)
 
 
+def gbt_stumps(spark, root):
+    """Three weighted trees of one split each, few enough for SQL to grow them too."""
+    rows = inputs.line_rows(spark, root)
+    return fit_trees(rows, STUMPS).scores(rows, ["l_orderkey", "l_linenumber"])
+
+
+def gbt_stumps_staged_ap(spark, root):
+    rows = inputs.line_rows(spark, root)
+    return staged_average_precision(fit_trees(rows, STUMPS), rows)
+
+
 def ae_oversample(spark, root):
     rows = inputs.vectors(spark, root).persist()
     minority = rows.where("y = 1")
@@ -411,7 +424,7 @@ _REGISTERED = [
     class_weight_train, synth_counts, average_precision, roc_auc, metrics_at_threshold, decisions, threshold_sweep,
     threshold_sweep_rounded, best_threshold, pr_curve, roc_curve, roc_curve_full, knn, smote_vectors, smote_features,
     augmented_rate, scores_wide, scenario_metrics, scenario_deltas, best_scenario, ap_bars, curve_scenarios, drawn_pr_curves, drawn_roc_curves_untuned,
-    best_threshold_table, sensitivity_pivot, sensitivity_top, best_cell, gbt_scores, gbt_staged_ap, ae_oversample,
+    best_threshold_table, sensitivity_pivot, sensitivity_top, best_cell, gbt_scores, gbt_staged_ap, gbt_stumps, gbt_stumps_staged_ap, ae_oversample,
     ae_encode, ae_encode_fixed, ae_decode_fixed, ae_oversample_fixed, trial_draws, search_trials, sensitivity_grid, experiment_metrics, experiment_document,
 ]
 
