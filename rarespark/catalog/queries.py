@@ -16,6 +16,7 @@ from rarespark.operators import checks, metrics, split
 from rarespark.operators.autoencoder import Autoencoder, fit_autoencoder, latent_anchors, latent_oversample, layer_shapes
 from rarespark.operators.boosting import TreeParams, fit_boosted, fit_trees, staged_average_precision
 from rarespark.operators.features import FeatureModel, frequency_table
+from rarespark.operators.neighbor_graph import approximate_neighbors
 from rarespark.operators.neighbors import nearest_neighbors, neighbor_rows
 from rarespark.operators.oversample import rows_to_add, smote, smote_oversample
 from rarespark.plans import experiment, reports, search
@@ -283,6 +284,11 @@ def knn(spark, root):
     return neighbor_rows(nearest_neighbors(inputs.vectors(spark, root).where("y = 1")))
 
 
+def knn_approximate(spark, root):
+    """The labelled approximate option, over all vectors; see the README for its recall."""
+    return neighbor_rows(approximate_neighbors(inputs.vectors(spark, root)))
+
+
 def _exploded(made: DataFrame) -> DataFrame:
     return made.select("i", "anchor_id", "neighbor_id", "share", F.posexplode("features").alias("pos", "value"))
 
@@ -422,7 +428,7 @@ _REGISTERED = [
     left_join_side, csv_source, required_tables, csv_dirty, csv_whole_text, csv_round_trip, json_round_trip, stratified_split, split_summary, rate_percent, split_disjoint, dup_keys, null_target,
     freq_table, num_stats, preprocessing_summary, encode_dense, encode_mixed, saved_preprocessor, coerce_numeric, finite_check, class_weight,
     class_weight_train, synth_counts, average_precision, roc_auc, metrics_at_threshold, decisions, threshold_sweep,
-    threshold_sweep_rounded, best_threshold, pr_curve, roc_curve, roc_curve_full, knn, smote_vectors, smote_features,
+    threshold_sweep_rounded, best_threshold, pr_curve, roc_curve, roc_curve_full, knn, knn_approximate, smote_vectors, smote_features,
     augmented_rate, scores_wide, scenario_metrics, scenario_deltas, best_scenario, ap_bars, curve_scenarios, drawn_pr_curves, drawn_roc_curves_untuned,
     best_threshold_table, sensitivity_pivot, sensitivity_top, best_cell, gbt_scores, gbt_staged_ap, gbt_stumps, gbt_stumps_staged_ap, ae_oversample,
     ae_encode, ae_encode_fixed, ae_decode_fixed, ae_oversample_fixed, trial_draws, search_trials, sensitivity_grid, experiment_metrics, experiment_document,
