@@ -101,11 +101,12 @@ def with_next_text(docs: DataFrame, total: int) -> tuple[DataFrame, Window]:
     ranged = with_range(keyed(docs), [], "_id", parts_for(total, RANGE_ROWS)).withColumn("_extra", F.lit(False))
     top = F.max_by(F.struct("_id", "_th", "text"), F.struct("_id", "_th"))
     heads = ranged.groupBy("_range").agg(top.alias("_top"))
-    # one row per range
+    # the windows see numbers of ranges only, the texts stay where they are
     ranges = Window.orderBy("_range")
     above = F.coalesce(F.lead("_range").over(ranges), F.min("_range").over(Window.partitionBy()))
-    moved = heads.select(above.alias("_range"), "_top").select(
-        "_top.text", "_top._id", "_top._th", "_range", F.lit(True).alias("_extra"), F.lit(None).cast("bigint").alias("doc_id")
+    steps = ranged.select("_range").distinct().select("_range", above.alias("_above"))
+    moved = heads.join(steps, "_range").select(
+        "_top.text", "_top._id", "_top._th", F.col("_above").alias("_range"), F.lit(True).alias("_extra"), F.lit(None).cast("bigint").alias("doc_id")
     )
     order = Window.partitionBy("_range").orderBy("_extra", F.desc("_id"), F.desc("_th"))
     rows = ranged.select("doc_id", "text", "_id", "_th", "_range", "_extra").unionByName(moved)
