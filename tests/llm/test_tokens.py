@@ -31,3 +31,16 @@ def test_ids_survive_a_full_cache(kind, monkeypatch):
     text = "to be or not to be, that is the question: whether 'tis nobler in the mind to suffer"
     want = array("I", code.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
     assert code.encode(text) == want == code.encode(text)
+
+
+@pytest.mark.parametrize("kind", FILES)
+def test_closing_marks_and_line_starts_need_no_splitter(kind, monkeypatch):
+    code = encoder(public_tokenizers.path(FILES[kind]), kind)
+    words = [w + m for w in ("word", "Été", "Zebra") for m in ("", ".", "...", "&&&", ",***", ".$$$", "!?%%%", "###")]
+    text = "a " + " ".join(words) + "".join("\n" + w for w in words)
+    want = array("I", code.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    fresh = type(code)(public_tokenizers.path(FILES[kind]), kind)
+    whole, seen = fresh._whole, []
+    monkeypatch.setattr(fresh, "_whole", lambda piece: seen.append(piece) or whole(piece))
+    assert fresh.encode(text) == want
+    assert set(seen) <= {"a"}
