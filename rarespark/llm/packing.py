@@ -54,36 +54,40 @@ def difference_partition(sizes: list[int], windows: int) -> list[list[int]]:
     n = len(sizes)
     if windows == 1 or n == 0:
         return [list(range(n))] + [[] for _ in range(windows - 1)]
-    left, right = np.full(2 * n, -1), np.full(2 * n, -1)
+    # joined sets are numbered from n on, in the order of these parts
+    lefts, rights = [], []
     made = n
-    heap = []
-    for i, size in enumerate(sizes):
-        # only the windows in use are kept; the others have sum 0 and no set
-        heap.append((-size, i, np.array([size]), np.array([i])))
+    # only the windows in use are kept; the others have sum 0 and no set
+    heap = [(-size, i, np.array([size]), np.array([i])) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     order = n
     while len(heap) > 1:
         _, _, sums_a, sets_a = heapq.heappop(heap)
-        _, _, sums_b, sets_b = heapq.heappop(heap)
-        width = min(windows, len(sums_a) + len(sums_b))
+        _, _, sums_b, sets_b = heap[0]
+        a, b = len(sums_a), len(sums_b)
+        width = min(windows, a + b)
+        apart = width - b  # windows that the second partition leaves alone
         sums, sets = np.zeros(width, np.int64), np.full(width, -1)
-        sums[: len(sums_a)], sets[: len(sets_a)] = sums_a, sets_a
-        at = slice(width - len(sums_b), width)
-        sums[at] += sums_b[::-1]
-        other, here = sets_b[::-1], sets[at]
-        both = np.flatnonzero((here >= 0) & (other >= 0))
-        merged = np.where(here >= 0, here, other)
-        nodes = np.arange(made, made + len(both))
-        left[nodes], right[nodes] = here[both], other[both]
-        merged[both] = nodes
-        made += len(both)
-        sets[at] = merged
-        down = np.argsort(-sums, kind="stable")
+        sums[:a], sets[:a] = sums_a, sets_a
+        sums[apart:] += sums_b[::-1]
+        if a <= apart:
+            sets[apart:] = sets_b[::-1]
+        else:
+            other, here = sets_b[::-1], sets[apart:]
+            merged = np.maximum(here, other)
+            both = np.flatnonzero(np.minimum(here, other) >= 0)
+            if len(both):
+                lefts.append(here[both]), rights.append(other[both])
+                merged[both] = np.arange(made, made + len(both))
+                made += len(both)
+            sets[apart:] = merged
+        down = (-sums).argsort(kind="stable")
         sums, sets = sums[down], sets[down]
         if width == windows:
-            sums = sums - sums[-1]
-        heapq.heappush(heap, (-int(sums[0]), order, sums, sets))
+            sums -= sums[-1]
+        heapq.heapreplace(heap, (-int(sums[0]), order, sums, sets))
         order += 1
+    left, right = (np.concatenate([np.empty(n, np.int64), *parts]).tolist() for parts in (lefts, rights))
     out = []
     for node in heap[0][3].tolist():
         items, stack = [], [node] if node >= 0 else []
@@ -92,7 +96,7 @@ def difference_partition(sizes: list[int], windows: int) -> list[list[int]]:
             if top < n:
                 items.append(top)
             else:
-                stack += [int(left[top]), int(right[top])]
+                stack += [left[top], right[top]]
         out.append(sorted(items))
     return out + [[] for _ in range(windows - len(out))]
 
