@@ -127,6 +127,20 @@ def test_one_partner_a_token(spark):
     assert {r.doc_id: r.text for r in drop_repeated_lines(df, 50, 1).collect()} == brute(rows)
 
 
+def test_a_family_that_is_nearly_alike_makes_few_pairs(spark, monkeypatch):
+    """Lines of similarity 0.70 with one another: none goes, and few are compared on the whole sets."""
+    from rarespark.llm import line_dedup
+
+    base = [f"b{i}" for i in range(60)]
+    lines = [" ".join([*base[: 6 + i % 48], f"own{i}", *base[7 + i % 48 :]]) for i in range(144)]
+    judged, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *more: judged.append(pairs.count()) or verified(pairs, *more))
+    rows = [*enumerate(lines), (200, lines[7]), (201, lines[9] + " and")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in drop_repeated_lines(df).collect()} == brute(rows)
+    assert 0 < sum(judged) < 6 * len(lines)
+
+
 def test_long_text_in_chunks(spark, monkeypatch):
     from rarespark.llm import line_dedup
 
