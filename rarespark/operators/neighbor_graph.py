@@ -5,11 +5,14 @@ A labelled option for many minority rows without cluster structure, where the ex
 
 1. Distinct vectors are placed around sampled pivots, ``tables`` times with other pivots; each finds
    its ``width`` nearest within its own block. That is the first graph.
-2. In each round every vector gathers its neighbours and up to ``width`` of the vectors that list it, and
-   compares them with each other. A pair is passed on only to the side whose list it improves.
+2. In each round every vector, as a hub, gathers its neighbours and up to ``width`` of the vectors that list it, and
+   they are compared with each other. A pair is passed on only to the side whose list it improves.
 3. Rounds end when less than ``settled`` of the entries changed, or after ``rounds``.
 
-A vector moves ``2 * width + 1`` times a round, so the work grows in proportion to the vectors.
+Hubs are dealt to groups, ``GROUPS`` or so many that the vectors of one fit ``GROUP_BYTES``. A vector moves once to each group
+with hubs of its own, and a group passes on the ``width`` best entries of a list. So a vector moves at most ``GROUPS`` times a round while groups
+are few, ``2 * width + 1`` times on average however many there are, and the work grows in proportion to the vectors. Vectors of 32-bit numbers
+move as such.
 Distances are exact, neighbours may be missed. Ties go to the smaller id. Results don't depend on
 partitioning: all draws are made of keys.
 """
@@ -20,7 +23,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ from rarespark.settings import K_NEIGHBORS, SEED
 
 WIDTH, TABLES, ROUNDS, SETTLED = 24, 2, 12, 0.001
 BLOCK_ROWS, MAX_PIVOTS = 512, 4096
+GROUPS, GROUP_BYTES = 12, 512 << 20
+_PAIRS_HELD = 1 << 20
 _LIST = "array<struct<d2: double, id: bigint>>"
 
 
@@ -57,16 +62,20 @@ def approximate_neighbors(
     want = k + 1
     width = max(width, want)
     reps = materialize(distinct_vectors(pts, want), "vectors")
-    size = reps.agg(F.count("*").alias("n"), F.max(F.size("ids")).alias("most")).first()
+    narrow = F.min(F.forall("vec", lambda v: v.cast("float").cast("double") == v)).alias("narrow")
+    size = reps.agg(F.count("*").alias("n"), F.max(F.size("ids")).alias("most"), narrow, F.max(F.size("vec")).alias("long")).first()
     if not size["n"]:
         return pts.select("id", F.array().cast(_LIST).alias("neighbors"))
     block_rows = max(block_rows, math.ceil(size["n"] / MAX_BLOCKS))
     nodes = reps.select("rep", "vkey", "vec", F.array("rep").alias("ids"))
     starts = [_block_lists(nodes, size["n"], width, block_rows, f"{seed}:{t}") for t in range(tables if size["n"] > block_rows else 1)]
-    graph = nodes.select("rep", "vec", F.array().cast(_LIST).alias("nearest"))
+    number = "float" if size["narrow"] else "double"  # no number is changed
+    row_bytes = (4 if size["narrow"] else 8) * size["long"] + 8 * width + 64
+    groups = max(GROUPS, math.ceil(size["n"] * (2 * width + 1) * row_bytes / GROUP_BYTES))
+    graph = nodes.select("rep", F.col("vec").cast(f"array<{number}>").alias("vec"), F.array().cast(_LIST).alias("nearest"))
     graph, _ = _improved(graph, starts, width)
     for turn in range(rounds if size["n"] > block_rows else 0):
-        graph, changed = _improved(graph, [_closer_pairs(graph, width, f"{seed}:{turn}")], width)
+        graph, changed = _improved(graph, [_closer_pairs(graph, width, f"{seed}:{turn}", groups)], width)
         if changed <= settled * width * size["n"]:
             break
     return lists_of_rows(_with_copies(graph, reps, want), reps, pts, size["most"], k)
@@ -99,53 +108,85 @@ def _improved(graph: DataFrame, found: list[DataFrame], width: int) -> tuple[Dat
     return stored.drop("changed"), stored.agg(F.sum("changed")).first()[0] or 0
 
 
-def _closer_pairs(graph: DataFrame, width: int, seed: str) -> DataFrame:
-    """``(rep, found)``: entries that improve the list of ``rep``, seen around a common neighbour."""
+def _closer_pairs(graph: DataFrame, width: int, seed: str, groups: int) -> DataFrame:
+    """``(rep, found)``: entries that improve the list of ``rep``, seen around a common neighbour; a row for each group that has any."""
     listed = graph.select("rep", F.explode("nearest.id").alias("id"))
     draw = Window.partitionBy("id").orderBy(draw_bits(seed, "back", F.concat_ws(":", "rep", "id")), "rep")
     back = listed.withColumn("_rn", F.row_number().over(draw)).where(F.col("_rn") <= width)
     own = graph.select(F.col("rep").alias("hub"), F.col("rep").alias("member"))
     pairs = listed.select(F.col("rep").alias("hub"), F.col("id").alias("member"))
-    pairs = pairs.union(back.select(F.col("id").alias("hub"), F.col("rep").alias("member"))).union(own).distinct()
-    pairs = materialize(pairs, "around")
+    pairs = pairs.union(back.select(F.col("id").alias("hub"), F.col("rep").alias("member"))).union(own)
+    group = F.pmod(F.xxhash64("hub"), F.lit(groups)).alias("group")
+    visits = materialize(pairs.groupBy(group, "member").agg(F.collect_set("hub").alias("hubs")), "around")
     last = F.when(F.size("nearest") >= width, F.get("nearest", width - 1)["d2"]).otherwise(F.lit(float("inf"))).alias("worst")
     members = graph.select(F.col("rep").alias("member"), "vec", last, F.col("nearest.id").alias("known"))
-    placed = salted_join(pairs, members, ["member"], heavy_keys(pairs, "member"), "member", F.col("hub"))
-    placed = placed.select("hub", "member", "worst", "known", "vec").repartition("hub").sortWithinPartitions("hub", "member")
-
-    def compare(group: pd.DataFrame) -> list[np.ndarray]:
-        ids, x = group["member"].to_numpy(), np.vstack(group["vec"].to_numpy())
-        known = np.repeat(ids[:, None], width + 1, 1)  # the row itself is never its neighbour
-        for row, those in enumerate(group["known"]):
-            known[row, 1 : len(those) + 1] = those
-        delta = x[:, None, :] - x[None, :, :]
+    placed = salted_join(visits, members, ["member"], heavy_keys(visits, "member"), "member", F.col("group"))
+    placed = placed.select("group", "member", "hubs", "worst", "known", "vec").repartition("group").sortWithinPartitions("group", "member")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a group may go on in the next batch
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for a, b in zip(starts[:-1], starts[1:]):
+                if rest and rest[-1].column(0)[0].as_py() != numbers[a]:
+                    yield _group_entries(rest, width)
+                    rest = []
+                rest.append(batch.slice(a, b - a))
+        if rest:
+            yield _group_entries(rest, width)
+
+    return placed.mapInArrow(compare, f"rep bigint, found {_LIST}")
+
+
+def _group_entries(batches: list[pa.RecordBatch], width: int) -> pa.RecordBatch:
+    """``(rep, found)`` of the vectors of a group, of which those with a common hub are compared."""
+    table = pa.Table.from_batches(batches)
+    ids, worst = (table.column(c).to_numpy() for c in ("member", "worst"))
+    hubs, hub_counts = _flat(table.column("hubs"))
+    near, near_counts = _flat(table.column("known"))
+    x = _flat(table.column("vec"))[0].reshape(len(ids), -1)
+    known = np.repeat(ids[:, None], width + 1, 1)  # the row itself is never its neighbour
+    known[:, 1:][np.arange(width) < near_counts[:, None]] = near
+    order = np.argsort(hubs, kind="stable")
+    rows = np.repeat(np.arange(len(ids)), hub_counts)[order]
+    cuts = np.flatnonzero(np.diff(hubs[order])) + 1
+    best, held, size = [np.empty(0, np.int64)] * 2 + [np.empty(0)], [], 0
+    for own in np.split(rows, cuts):
+        own_ids, vectors = ids[own], x[own].astype(np.float64)
+        delta = vectors[:, None, :] - vectors[None, :, :]
         d2 = np.round(np.einsum("ijk,ijk->ij", delta, delta), DECIMALS)
-        better = (d2 < group["worst"].to_numpy()[:, None]) & ~(known[:, None, :] == ids[None, :, None]).any(2)
+        better = (d2 < worst[own][:, None]) & ~(known[own][:, None, :] == own_ids[None, :, None]).any(2)
         i, j = np.nonzero(better)
-        return [ids[i], ids[j], d2[i, j]]
+        held.append([own_ids[i], own_ids[j], d2[i, j]])
+        size += len(i)
+        if size > max(_PAIRS_HELD, len(best[0])):
+            best, held, size = _best_entries([best, *held], width), [], 0
+    rep, other, d2 = _best_entries([best, *held], width)
+    begins = np.flatnonzero(np.append(True, rep[1:] != rep[:-1])) if len(rep) else np.empty(0, np.int64)
+    entries = pa.StructArray.from_arrays([pa.array(d2, pa.float64()), pa.array(other, pa.int64())], ["d2", "id"])
+    offsets = pa.array(np.append(begins, len(rep)), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(rep[begins], pa.int64()), pa.ListArray.from_arrays(offsets, entries)], ["rep", "found"])
 
-    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # a group has at most 2 * width + 1 rows and may go on in the next batch
-        rest = None
-        for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            starts = np.flatnonzero(np.diff(rows["hub"].to_numpy())) + 1
-            if not len(starts):
-                rest = rows
-                continue
-            whole = np.concatenate([[0], starts])
-            yield _entries([compare(rows.iloc[a:b]) for a, b in zip(whole[:-1], whole[1:])])
-            rest = rows.iloc[starts[-1] :]
-        if rest is not None and len(rest):
-            yield _entries([compare(rest)])
-
-    seen = placed.mapInPandas(around, "rep bigint, id bigint, d2 double")
-    return seen.groupBy("rep").agg(F.collect_set(F.struct("d2", "id")).alias("found"))
-
-
-def _entries(parts: list[list[np.ndarray]]) -> pd.DataFrame:
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of the lists, one after the other, and the length of each."""
+    values = [chunk.flatten().to_numpy(zero_copy_only=False) for chunk in lists.chunks]
+    return np.concatenate(values), np.concatenate([chunk.value_lengths().to_numpy(zero_copy_only=False) for chunk in lists.chunks])
+
+
+def _best_entries(parts: list[list[np.ndarray]], width: int) -> list[np.ndarray]:
+    """The ``width`` nearest distinct entries ``(rep, id, d2)`` of each ``rep``, in order."""
     rep, other, d2 = (np.concatenate([p[c] for p in parts]) for c in range(3))
-    return pd.DataFrame({"rep": rep, "id": other, "d2": d2})
+    order = np.lexsort((other, d2, rep))
+    rep, other, d2 = rep[order], other[order], d2[order]
+    new = np.ones(len(rep), bool)
+    new[1:] = (rep[1:] != rep[:-1]) | (other[1:] != other[:-1]) | (d2[1:] != d2[:-1])
+    rep, other, d2 = rep[new], other[new], d2[new]
+    begins = np.flatnonzero(np.append(True, rep[1:] != rep[:-1])) if len(rep) else np.empty(0, np.int64)
+    place = np.arange(len(rep)) - np.repeat(begins, np.diff(np.append(begins, len(rep))))
+    return [c[place < width] for c in (rep, other, d2)]
 
 
 def _with_copies(graph: DataFrame, reps: DataFrame, want: int) -> DataFrame:

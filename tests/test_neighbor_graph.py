@@ -69,6 +69,24 @@ def test_groups_that_go_on_in_the_next_batch(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
 
 
+def test_a_vector_moves_once_to_a_group(spark, monkeypatch):
+    x = np.random.default_rng(10).normal(size=(300, 8)).astype(np.float32).astype(float)
+    moved, join = [], neighbor_graph.salted_join
+
+    def counted(left, *more):
+        if "group" in left.columns:
+            moved.append((left.count(), left.select("member", "group").distinct().count()))
+        return join(left, *more)
+
+    monkeypatch.setattr(neighbor_graph, "salted_join", counted)
+    got = found(spark, x, block_rows=40, rounds=4)
+    assert all(rows == distinct <= neighbor_graph.GROUPS * 300 for rows, distinct in moved) and len(moved) == 4
+    # as many groups as need be
+    monkeypatch.setattr(neighbor_graph, "GROUP_BYTES", 1 << 16)
+    monkeypatch.setattr(neighbor_graph, "_PAIRS_HELD", 50)
+    assert found(spark, x, block_rows=40, rounds=4) == got
+
+
 def test_not_used_by_default():
     import rarespark.operators.oversample as oversample
 
