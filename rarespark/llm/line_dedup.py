@@ -72,16 +72,17 @@ def line_tokens(data: bytes, levels: np.ndarray | None = None) -> tuple[np.ndarr
     """(line number, token hash, summed level of its words) with repeats, and the number of lines of a lowered text."""
     starts, h = word_hashes(data)
     breaks = np.flatnonzero(np.frombuffer(data, "u1") == 10)
-    line = np.searchsorted(breaks, starts)
-    level = np.zeros(len(h), np.int64) if levels is None else levels[(h >> np.uint64(44)).astype(np.int64)].astype(np.int64)
+    counts = np.diff(np.searchsorted(starts, breaks), prepend=0, append=len(h))
+    line = np.repeat(np.arange(len(counts)), counts)
+    level = np.zeros(len(h), np.uint8) if levels is None else levels[(h >> np.uint64(44)).view(np.int64)]
     lines, tokens, sums = [], [], []
     if len(h) >= SHINGLE:
         n = len(h) - SHINGLE + 1
-        whole = line[:n] == line[SHINGLE - 1 :]
+        whole = np.flatnonzero(line[:n] == line[SHINGLE - 1 :])
         lines.append(line[:n][whole]), tokens.append(chained(h, SHINGLE, n)[whole])
-        total = np.concatenate([[0], np.cumsum(level)])
-        sums.append((total[SHINGLE:] - total[:-SHINGLE])[whole])
-    counts = np.bincount(line, minlength=len(breaks) + 1)
+        total = np.zeros(len(h) + 1, np.int64)
+        np.cumsum(level, out=total[1:])
+        sums.append(total[whole + SHINGLE] - total[whole])
     first = np.cumsum(counts) - counts
     for words in range(1, SHINGLE):
         short = np.flatnonzero(counts == words)
@@ -169,13 +170,14 @@ class _Lines:
 
     def __init__(self, data: bytes, levels: np.ndarray):
         line, tokens, level, total = line_tokens(data, levels)
-        packed = (line.astype(np.uint64) << np.uint64(40)) | (level.astype(np.uint64) << np.uint64(29)) | (tokens >> np.uint64(35))
+        packed = tokens >> np.uint64(35)
+        packed |= ((line << 11) | level).view(np.uint64) << np.uint64(29)
         order = np.argsort(packed)
         packed, tokens = packed[order], tokens[order]
         if ((packed[1:] == packed[:-1]) & (tokens[1:] < tokens[:-1])).any():
             again = np.lexsort((tokens, packed))
             packed, tokens, order = packed[again], tokens[again], order[again]
-        line = line[order]
+        line = (packed >> np.uint64(40)).view(np.int64)
         new = np.ones(len(line), bool)
         new[1:] = (line[1:] != line[:-1]) | (tokens[1:] != tokens[:-1])
         line, self.tokens = line[new], tokens[new]
@@ -183,16 +185,19 @@ class _Lines:
         self.used = np.flatnonzero(n)
         self.n = n[self.used]
         self.begins = np.cumsum(self.n) - self.n
-        self.own = np.repeat(np.arange(len(self.used)), self.n)
+        self.shared = shared_tokens(self.n)
         if len(self.used):
             self.c1 = np.add.reduceat(mix64(self.tokens), self.begins)
-            self.c2 = np.add.reduceat(mix64(self.tokens ^ _SECOND), self.begins)
-        place = np.arange(len(self.tokens)) - self.begins[self.own]
-        # shorter lines are alike to equal ones only
-        long = self.n >= LEAST_TOKENS
-        self.place, self.shared = place, shared_tokens(self.n)
-        self.prefix = place < np.where(long, prefix_length(self.n, self.shared), 0)[self.own]
-        self.first = place < np.where(long, prefix_length(self.n, 1), 0)[self.own]
+
+    def prefixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, place there) of the tokens of the prefixes; shorter lines are alike to equal ones only."""
+        sizes = np.where(self.n >= LEAST_TOKENS, prefix_length(self.n, self.shared), 0)
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        return own, np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    def c2(self) -> np.ndarray:
+        """Second hashes of the token sets; only the lines that are written need them."""
+        return np.add.reduceat(mix64(self.tokens ^ _SECOND), self.begins)
 
 
 def shared_slots(docs: DataFrame, levels: np.ndarray) -> np.ndarray:
@@ -213,9 +218,10 @@ def shared_slots(docs: DataFrame, levels: np.ndarray) -> np.ndarray:
 
         for data, _ in _chunks(batches):
             lines = _Lines(data, shared.value)
-            slot = lines.tokens[lines.prefix] >> np.uint64(64 - SLOT_BITS)
+            own, place = lines.prefixes()
+            slot = lines.tokens[lines.begins[own] + place] >> np.uint64(64 - SLOT_BITS)
             if len(slot):
-                held.append((slot << np.uint64(32)) | (lines.c1[lines.own[lines.prefix]] >> np.uint64(32)))
+                held.append((slot << np.uint64(32)) | (lines.c1 >> np.uint64(32))[own])
                 size += len(slot)
             if size > _HELD:
                 yield blobs()
@@ -248,6 +254,7 @@ def shared_slots(docs: DataFrame, levels: np.ndarray) -> np.ndarray:
     return bits.ravel()
 
 
+_HASHES = ["c1", "c2", "keys.list.element", "prints", "tokens"]
 _LINES = "_id bigint, _th bigint, line bigint, c1 bigint, c2 bigint, n bigint, keys array<bigint>, spots array<int>, prints binary, tokens binary"
 
 
@@ -264,11 +271,14 @@ def document_lines(docs: DataFrame, levels: np.ndarray, bits: np.ndarray) -> Dat
             used = len(lines.used)
             if not used:
                 continue
-            slot = (lines.tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-            marked = lines.prefix & ((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
-            count = np.bincount(lines.own[marked], minlength=used)
-            marked &= lines.first
-            early = np.bincount(lines.own[marked], minlength=used)
+            of, place = lines.prefixes()
+            at = lines.begins[of] + place
+            slot = (lines.tokens[at] >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+            marked = np.flatnonzero((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
+            count = np.bincount(of[marked], minlength=used)
+            marked = marked[place[marked] < prefix_length(lines.n, 1)[of[marked]]]
+            of, place, tokens = of[marked], place[marked], lines.tokens[at[marked]]
+            early = np.bincount(of, minlength=used)
             firsts = np.array([s[2] for s in said])
             at = np.searchsorted(firsts, lines.used, "right") - 1
             key = np.array([s[:2] for s in said], np.int64).reshape(-1, 2)[at]
@@ -278,20 +288,20 @@ def document_lines(docs: DataFrame, levels: np.ndarray, bits: np.ndarray) -> Dat
             fresh = np.zeros(used, bool)
             fresh[order[np.append(True, lines.c1[order][1:] != lines.c1[order][:-1])]] = True
             wanted = fresh & (count >= lines.shared) & (early > 0)
-            keys = marked & wanted[lines.own]
+            keys = wanted[of]
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(wanted, early, 0))]), pa.int32())
             ends = np.concatenate([[0], np.cumsum(np.where(wanted, 8 * lines.n, 0))]).astype(np.int32)
-            whole = lines.tokens[wanted[lines.own]]
+            whole = lines.tokens[np.repeat(wanted, lines.n)]
             none = np.packbits(wanted, bitorder="little").tobytes()
             width = np.where(wanted, print_bits(lines.n), 0)
             parts = (ends, whole.astype("<u8")), (np.concatenate([[0], np.cumsum(width // 8)]).astype(np.int32), token_prints(whole, lines.n[wanted]))
-            tokens, prints = (pa.BinaryArray.from_buffers(pa.binary(), used, [pa.py_buffer(none), pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())]) for at, data in parts)
-            columns = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in (key[:, 0], key[:, 1], own, lines.c1.view(np.int64), lines.c2.view(np.int64), lines.n)]
+            sets, prints = (pa.BinaryArray.from_buffers(pa.binary(), used, [pa.py_buffer(none), pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())]) for at, data in parts)
+            columns = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in (key[:, 0], key[:, 1], own, lines.c1.view(np.int64), lines.c2().view(np.int64), lines.n)]
             lists = [
-                pa.ListArray.from_arrays(offsets, pa.array(lines.tokens[keys].view(np.int64), pa.int64())),
-                pa.ListArray.from_arrays(offsets, pa.array(lines.place[keys], pa.int32())),
+                pa.ListArray.from_arrays(offsets, pa.array(tokens[keys].view(np.int64), pa.int64())),
+                pa.ListArray.from_arrays(offsets, pa.array(place[keys], pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays([*columns, *lists, prints, tokens], names)
+            yield pa.RecordBatch.from_arrays([*columns, *lists, prints, sets], names)
 
     return docs.select("text", *KEY).mapInArrow(find, _LINES)
 
@@ -552,10 +562,10 @@ def _one_pair_each(pairs: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, block: int = BLOCK, partners: int = PARTNERS) -> DataFrame:
     """``(_id, _th, lines array<bigint>)``: numbers of the lines to remove of each document that has any."""
     levels = word_levels(docs)
-    lines = materialize(document_lines(docs, levels, shared_slots(docs, levels)), "lines")
+    lines = materialize(document_lines(docs, levels, shared_slots(docs, levels)), "lines", hashes=_HASHES)
     first = F.min(F.struct(*KEY, "line")).alias("first")
     sets = lines.where("tokens IS NOT NULL").groupBy("c1", "c2").agg(first, *[F.max(c).alias(c) for c in ("n", "keys", "spots", "prints")])
-    matched = _with_matches(materialize(sets, "line-sets"), lines, block, partners)
+    matched = _with_matches(materialize(sets, "line-sets", hashes=_HASHES), lines, block, partners)
 
     again = lines.groupBy("c1", "c2").agg(first, F.count("*").alias("times")).where("times > 1").select("c1", "c2", "first", F.lit(False).alias("all"))
     marks = matched.withColumn("all", F.lit(True)).withColumn("first", F.lit(None).cast(again.schema["first"].dataType))
