@@ -32,11 +32,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rarespark.llm.prefilter import mark_possible, possible_partners
-from rarespark.llm.rows import KEY, keyed, wrapped
+from rarespark.llm.rows import KEY, few_rows, keyed, wrapped
 from rarespark.llm.shingles import SHINGLE, chained, mix64, word_hashes
 from rarespark.operators.joins import heavy_keys, salted_join
 from rarespark.session import materialize
@@ -258,10 +259,11 @@ _HASHES = ["c1", "c2", "keys.list.element", "prints", "tokens"]
 _LINES = "_id bigint, _th bigint, line bigint, c1 bigint, c2 bigint, n bigint, keys array<bigint>, spots array<int>, prints binary, tokens binary"
 
 
-def document_lines(docs: DataFrame, levels: np.ndarray, bits: np.ndarray) -> DataFrame:
+def document_lines(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """Every line with words: the hashes of its token set and its size; and for lines with enough marked prefix tokens
-    those of the shortest prefix, their positions, the prints and the whole set as bytes (once for equal lines of a chunk)."""
-    shared = docs.sparkSession.sparkContext.broadcast((levels, bits))
+    those of the shortest prefix, their positions, the prints and the whole set as bytes (once for equal lines of a chunk).
+
+    ``shared`` holds the levels of words and the bitmap of slots."""
     names = [*KEY, "line", "c1", "c2", "n", "keys", "spots", "prints", "tokens"]
 
     def find(batches):
@@ -562,7 +564,9 @@ def _one_pair_each(pairs: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, block: int = BLOCK, partners: int = PARTNERS) -> DataFrame:
     """``(_id, _th, lines array<bigint>)``: numbers of the lines to remove of each document that has any."""
     levels = word_levels(docs)
-    lines = materialize(document_lines(docs, levels, shared_slots(docs, levels)), "lines", hashes=_HASHES)
+    shared = docs.sparkSession.sparkContext.broadcast((levels, shared_slots(docs, levels)))
+    lines = materialize(document_lines(docs, shared), "lines", hashes=_HASHES)
+    shared.unpersist()  # the executors' copies aren't needed beside the joins
     first = F.min(F.struct(*KEY, "line")).alias("first")
     sets = lines.where("tokens IS NOT NULL").groupBy("c1", "c2").agg(first, *[F.max(c).alias(c) for c in ("n", "keys", "spots", "prints")])
     matched = _with_matches(materialize(sets, "line-sets", hashes=_HASHES), lines, block, partners)
@@ -594,7 +598,7 @@ def drop_repeated_lines(docs: DataFrame, block: int = BLOCK, partners: int = PAR
     fields = docs.schema
 
     def cut(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             texts, stay = [], []
             for text, lines in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist()):
                 left = without_lines(text, set(lines)) if lines else text

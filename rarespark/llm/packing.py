@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rarespark.llm.rows import few_rows
 from rarespark.llm.tokens import encoder
 
 WINDOW = 2048
@@ -177,7 +178,7 @@ def pack_documents(
 
         encode = encoder(vocabulary, kind).encode
         packer = _Packer(TaskContext.get().partitionId(), window, piece, group_windows)
-        for batch in batches:
+        for batch in few_rows(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 packer.add(doc_id, encode(text) + end)
                 yield from packer.take(8 << 20)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rarespark.llm.rows import few_rows
 from rarespark.session import materialize
 
 BASE_WORDS = 50
@@ -122,7 +123,7 @@ def document_stats(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """``(doc_id, <counts>, base_failed, pattern)`` of every document."""
 
     def stats(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 found = measure(text)
@@ -218,7 +219,7 @@ def keep_good_documents(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame
     at = docs.columns.index("text")
 
     def keep(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             mask = []
             for text in batch.column(at).to_pylist():
                 found = measure(text or "")
